@@ -42,6 +42,17 @@ def _existing(read, path: str) -> DataFrame:
         raise
 
 
+def spread(df: DataFrame, per_slot: int = 4) -> DataFrame:
+    """Even out an input of fewer files than cores before per-row work that is heavy.
+
+    A table with plenty of splits comes back unchanged, so at scale this adds nothing.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= per_slot * slots or len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,

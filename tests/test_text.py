@@ -21,7 +21,7 @@ def python_clean(body):
     if body is None:
         return ""
     out = body
-    for name, pattern, replacement in T.MARKUP_RULES + T.LAYOUT_RULES:
+    for name, pattern, replacement, _ in T.ALL_RULES:
         if name == "unprintable":
             out = unicodedata.normalize("NFKC", out)
         flags = 0
@@ -30,6 +30,7 @@ def python_clean(body):
             pattern = pattern[head.end() :]
             for letter in head.group(1):
                 flags |= PY_FLAGS.get(letter, 0)
+        pattern = pattern.replace(r"\p{Nd}", r"\d")
         pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m.group(1), 16))), pattern)
         out = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", replacement), out, flags=flags)
     return "\n".join(s for s in (line.strip() for line in out.splitlines()) if s).strip()
@@ -124,6 +125,8 @@ def test_fold_stable_class_is_stable():
         if parts and not parts.startswith("<") and len(parts.split()) == 2:
             seconds.add(chr(int(parts.split()[1], 16)))
     assert len(stable) > 30_000
+    plain = {c for c in map(chr, range(256)) if re.match(T.PLAIN_LATIN.replace("*\\z", ""), c)}
+    assert plain < stable and not plain & set("\xa0\xad\x85\x0b\x0c\x1c")
     for char in stable:
         assert unicodedata.normalize("NFKC", char) == char, hex(ord(char))
         assert not unicodedata.combining(char) and char not in seconds, hex(ord(char))
