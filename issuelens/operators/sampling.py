@@ -83,6 +83,7 @@ def rank_bands(
     strata_cols = [F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)] or [F.lit(0).alias("__s0")]
     names = [f"__s{i}" for i in range(len(strata_cols))]
     order_key = _order_key(seed, key_cols)
+    order_fields = ["digest", *key_cols]
     slim = (
         df.select(*strata_cols, order_key.alias("__order"))
         .dropna(subset=names)
@@ -118,14 +119,21 @@ def rank_bands(
         .join(places, [*names, "__prefix", "__nth"])
         .groupBy(*names)
         .agg(*[F.max(F.when(F.col("__cut") == i, F.col("__order"))).alias(f"__at{i}") for i in range(n_ranks)])
+        .select(
+            *names,
+            *[F.col(f"__at{i}.{f}").alias(f"__at{i}_{f}") for i in range(n_ranks) for f in order_fields],
+        )
     )
     bounds = inline_if_small(
         wanted.select(*names, *[(F.col(f"rank_{i}") <= 0).alias(f"__none{i}") for i in range(n_ranks)])
         .join(found, names, "left")
     )
-    above = [
-        F.when(F.col(f"__none{i}") | (order_key > F.col(f"__at{i}")), 1).otherwise(0) for i in range(n_ranks)
-    ]
+
+    def is_past(i: int) -> Column:
+        cut = F.struct(*[F.col(f"__at{i}_{f}").alias(f) for f in order_fields])
+        return F.col(f"__none{i}") | (F.col(f"__at{i}_digest").isNotNull() & (order_key > cut))
+
+    above = [F.when(is_past(i), 1).otherwise(0) for i in range(n_ranks)]
     return (
         df.withColumns({f"__s{i}": F.col(s) for i, s in enumerate(strata)} or {"__s0": F.lit(0)})
         .join(bounds, names)
