@@ -2,7 +2,9 @@
 
 from issuelens.plans import (  # noqa: F401
     label_queries,
+    metric_queries,
     sampling_queries,
+    scoring_queries,
     text_queries,
 )
 from issuelens.plans.registry import ORACLE_SQL, QUERIES
