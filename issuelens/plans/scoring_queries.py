@@ -90,9 +90,9 @@ def softmax_argmax(spark, folder):
 )
 def clean_score_evaluate(spark, folder):
     """Labelled documents: clean, filter, de-duplicate, score, evaluate."""
-    documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("body"))
+    documents = spread(table(spark, folder, "documents").select("doc_id", F.col("text").alias("body")))
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    labelled = spread(R.drop_null_rows(documents, "body").join(labels, "doc_id"))
+    labelled = R.drop_null_rows(documents, "body").join(labels, "doc_id")
     cleaned = with_clean_text(labelled, "body", "text").drop("body")
     kept = R.keep_first_by_text(R.keep_min_length(cleaned, "text", 20), "text", ["doc_id"])
     weights = token_weights(spark, folder)

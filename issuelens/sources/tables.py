@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -43,9 +44,11 @@ def _existing(read, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame, per_slot: int = 4) -> DataFrame:
-    """Even out an input of fewer files than cores before per-row work that is heavy.
+    """Even out a scan of fewer files than cores before per-row work that is heavy.
 
     A table with plenty of splits comes back unchanged, so at scale this adds nothing.
+    For scans and what narrow operators make of them; after a join or aggregation,
+    asking for the partition count would run that part of the plan.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= per_slot * slots or len(df.inputFiles()) >= slots:
@@ -102,13 +105,18 @@ def read_json_columns(spark: SparkSession, path: str, schema: T.StructType | str
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     files = _existing(spark.read.option("wholetext", True).text, path)
+    return spread_json_columns(files.select(F.input_file_name().alias("file"), "value"), "file", "value", wanted)
+
+
+def spread_json_columns(documents: DataFrame, key: str, value: str, schema: T.StructType) -> DataFrame:
+    """Rows of column-oriented JSON texts; ``key`` tells the texts apart."""
     cells = (
-        files.select(F.input_file_name().alias("file"), F.from_json("value", "map<string,map<string,string>>").alias("doc"))
-        .select("file", F.explode("doc").alias("name", "cells"))
-        .select("file", "name", F.explode("cells").alias("row", "cell"))
+        documents.select(key, F.from_json(value, "map<string,map<string,string>>").alias("__doc"))
+        .select(key, F.explode("__doc").alias("__name", "__cells"))
+        .select(key, "__name", F.explode("__cells").alias("__row", "__cell"))
     )
-    picked = [F.max(F.when(F.col("name") == f.name, F.col("cell"))).cast(f.dataType).alias(f.name) for f in wanted]
-    return cells.groupBy("file", "row").agg(*picked).drop("file", "row")
+    picked = [F.max(F.when(F.col("__name") == f.name, F.col("__cell"))).cast(f.dataType).alias(f.name) for f in schema]
+    return cells.groupBy(key, "__row").agg(*picked).drop(key, "__row")
 
 
 def read_json(spark: SparkSession, path: str, schema=None, orient: str | None = None) -> DataFrame:
@@ -154,11 +162,13 @@ def load_split(spark: SparkSession, path: str, split: str = "train") -> DataFram
 
 
 def load_dataset(spark: SparkSession, source: str, split: str = "train", schema=None) -> DataFrame:
-    """A file or folder, or else a catalog table; a ``split`` column is filtered on."""
-    if not os.path.splitext(source.rstrip("/"))[1] or not os.path.dirname(source):
-        if spark.catalog.tableExists(source):
-            table = spark.table(source)
-            return table.filter(F.col("split") == split).drop("split") if "split" in table.columns else table
+    """A catalog table, a file by its suffix, or a folder of splits.
+
+    A table with a ``split`` column is filtered on it.
+    """
+    if re.fullmatch(r"\w+(\.\w+){0,2}", source) and spark.catalog.tableExists(source):
+        found = spark.table(source)
+        return found.filter(F.col("split") == split).drop("split") if "split" in found.columns else found
     if os.path.splitext(source.rstrip("/"))[1]:
         return load_table(spark, source, schema)
     return load_split(spark, source, split)
