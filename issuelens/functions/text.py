@@ -75,7 +75,7 @@ SYMBOL_RULES = [
 
 # What no display can show; applies after compatibility folding.
 PRINT_RULES = [
-    Rule("unprintable", r"[^\x09\x0a\x0d\x20-\x7e\x{a0}-\x{d7ff}\x{e000}-\x{fffd}]", " ", ()),
+    Rule("unprintable", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{d800}-\x{dfff}\x{fffe}-\x{10ffff}]", " ", ()),
 ]
 
 # Spacing rules, last.
@@ -87,6 +87,7 @@ LAYOUT_RULES = [
 ALL_RULES = [*MARKUP_RULES, *SYMBOL_RULES, *PRINT_RULES, *LAYOUT_RULES]
 
 WHITE_SPACE = f"{SPACE}+"
+ASCII_WHITE_SPACE = r"[\t-\r\x1c-\x20]+"
 # Text of these characters only has no symbols, nothing to fold, nothing unprintable
 # and no line ends but \n and \r.
 PLAIN_LATIN = r"^[\t\n\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff]*\z"
@@ -180,7 +181,9 @@ def with_clean_text(df: DataFrame, source: str = "body", target: str = "text") -
 
 def words(col: Column) -> Column:
     """White-space separated words; the empty text has none."""
-    return F.filter(F.split(col, WHITE_SPACE), lambda w: w != "")
+    is_ascii = F.octet_length(col) == F.length(col)
+    parts = F.when(is_ascii, F.split(col, ASCII_WHITE_SPACE)).otherwise(F.split(col, WHITE_SPACE))
+    return F.filter(parts, lambda w: w != "")
 
 
 def word_count(col: Column) -> Column:

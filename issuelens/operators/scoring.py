@@ -67,7 +67,8 @@ def linear_logits(
 ) -> DataFrame:
     """Bag-of-words logits: per class, bias plus the weights of the text's tokens.
 
-    ``weights`` is (token, class, weight). Token rows never leave their task: the
+    ``weights`` is (token, class, weight); ``key_cols`` are repeated per token, so keep
+    them narrow and join wide columns back by key. Token rows never leave their task: the
     weight lookup is a map-side join and sums are combined before the shuffle, which
     carries one narrow row per text.
     """

@@ -11,11 +11,11 @@ INLINE_ROWS = 10_000
 def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS) -> DataFrame:
     """``df`` as a broadcast local table if it has at most ``max_rows`` rows.
 
-    Fetches no more than ``max_rows + 1`` rows to find out. A larger side comes back
-    as it was, without a hint, so the join shuffles and adaptive execution splits
-    any skewed partition.
+    Fetches no more than ``max_rows + 1`` rows to find out, partition by partition. A
+    larger side comes back as it was, without a hint, so the join shuffles and adaptive
+    execution splits any skewed partition.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    rows = df.take(max_rows + 1)
+    if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from issuelens.functions.text import text_hash
 from issuelens.operators import metrics as M
 from issuelens.operators import scoring as I
+from issuelens.operators.small import inline_if_small
 from issuelens.plans.io_queries import FLAT, raw_issues
 from issuelens.plans.metric_queries import SCORES, SCORES_SQL, counts_sql, rounded
 from issuelens.plans.registry import query, r6, table
@@ -44,20 +45,20 @@ def stamped(frame, *names):
 @query(
     f"""WITH cleaned AS (SELECT doc_id, {sql_clean('text')} AS text FROM documents WHERE text IS NOT NULL),
       kept AS (SELECT * FROM cleaned WHERE length(text) >= 20), {linear_sql('kept', 'doc_id', 'text')}
-    SELECT doc_id, text, predicted_class, round(p1, 6) AS p1 FROM kept JOIN probs USING (doc_id)"""
+    SELECT doc_id, length(text) AS clean_chars, predicted_class, round(p1, 6) AS p1 FROM kept JOIN probs USING (doc_id)"""
 )
 def stream_clean_score(spark, folder):
     """Clean and keep incoming texts, then score each micro-batch."""
     stream = stream_table(spark, folder, "documents").select("doc_id", F.col("text").alias("body"))
-    cleaned = J.clean_stream(stream).drop("body")
-    weights = token_weights(spark, folder)
+    cleaned = J.clean_stream(stream).select("doc_id", "text", F.length("text").cast("long").alias("clean_chars"))
+    weights = inline_if_small(token_weights(spark, folder))
     path = scratch_path(spark, "stream-scores")
 
     def score(batch, _):
-        logits = I.linear_logits(batch, ["doc_id", "text"], "text", weights, BIAS)
+        logits = I.linear_logits(batch, ["doc_id", "clean_chars"], "text", weights, BIAS)
         scored = I.predict_logits(logits)
         scored.select(
-            "doc_id", "text", "predicted_class", r6(F.get("class_probabilities", F.lit(1))).alias("p1")
+            "doc_id", "clean_chars", "predicted_class", r6(F.get("class_probabilities", F.lit(1))).alias("p1")
         ).write.mode("append").parquet(path)
 
     J.start_batch_sink(cleaned, score, f"{path}_checkpoint", mode="append", available_now=True).awaitTermination()

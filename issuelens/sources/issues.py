@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from issuelens.operators.small import inline_if_small
+
 # The fields of a raw issue and their types.
 RAW_ISSUE_SCHEMA = (
     "id long, number long, title string, body string, state string, "
@@ -56,13 +58,16 @@ def flatten_issues(raw: DataFrame) -> DataFrame:
 def newest_issues(issues: DataFrame, limit: int | None = 100, created: str = "created_at", key: str = "id") -> DataFrame:
     """One row per issue, the newest ``limit`` of them; all if ``limit`` is None.
 
-    Repeats of an id collapse map-side. The limit is a top-k per task and a merge.
+    With a limit, the wanted ids are found from ids and times alone (a top-k per task
+    and a merge), and only their rows are carried on. Repeats of an id collapse
+    map-side.
     """
+    rows = issues
+    if limit is not None:
+        latest = issues.groupBy(key).agg(F.max(created).alias("__created"))
+        wanted = latest.orderBy(F.desc("__created"), F.desc(key)).limit(limit).select(key)
+        rows = issues.join(inline_if_small(wanted), key, "left_semi")
     columns = issues.columns
-    unique = (
-        issues.groupBy(F.col(key).alias("__key"))
-        .agg(F.max_by(F.struct(*columns), F.struct(created, *([c for c in ("updated_at",) if c in columns]))).alias("__row"))
-        .select("__row.*")
-    )
-    newest = unique.orderBy(F.desc(created), F.desc(key))
-    return newest if limit is None else newest.limit(limit)
+    latest_version = F.struct(created, *[c for c in ("updated_at",) if c in columns])
+    unique = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), latest_version).alias("__row"))
+    return unique.select("__row.*").orderBy(F.desc(created), F.desc(key))
