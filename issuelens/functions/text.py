@@ -79,10 +79,8 @@ PRINT_RULES = [
 ]
 
 # Spacing rules, last.
-LAYOUT_RULES = [
-    Rule("blank_lines", r"\n{3,}", "\n\n", ("\n\n\n",)),
-    Rule("space_runs", r"[ \t]{2,}", " ", ("  ", "\t")),
-]
+SPACE_RUNS = [Rule("space_runs", r"[ \t]{2,}", " ", ("  ", "\t"))]
+LAYOUT_RULES = [Rule("blank_lines", r"\n{3,}", "\n\n", ("\n\n\n",)), *SPACE_RUNS]
 
 ALL_RULES = [*MARKUP_RULES, *SYMBOL_RULES, *PRINT_RULES, *LAYOUT_RULES]
 
@@ -125,7 +123,8 @@ def _rewrite_column(df: DataFrame, name: str, rules: list[Rule], only: Column |
     for rule in rules:
         value = F.col(name)
         guards = [value.contains(need) for need in rule.needs]
-        guard = reduce(lambda a, b: a | b, guards) if guards else only
+        guard = reduce(lambda a, b: a | b, guards) if guards else F.lit(True)
+        guard = guard if only is None else only & guard
         df = df.withColumn(name, F.when(guard, _rewrite(value, rule)).otherwise(value))
     return df
 
@@ -160,7 +159,8 @@ def with_clean_text(df: DataFrame, source: str = "body", target: str = "text") -
     """Add the cleaned text; the fast form of :func:`clean_text` with the same result.
 
     Rules that cannot match a text are skipped, and only texts that folding may change
-    go to Python. Works on batch and streaming frames.
+    go to Python. What follows folding is one short expression, since a later filter on
+    the text repeats it. Works on batch and streaming frames.
     """
     bare, plain, folded = (f"__{target}_{part}" for part in ("bare", "plain", "folded"))
     odd = ~F.col(plain)
@@ -168,15 +168,15 @@ def with_clean_text(df: DataFrame, source: str = "body", target: str = "text") -
     staged = _rewrite_column(staged, bare, MARKUP_RULES)
     staged = staged.withColumn(plain, F.col(bare).rlike(PLAIN_LATIN))
     staged = _rewrite_column(staged, bare, SYMBOL_RULES, odd)
+    staged = _rewrite_column(staged, bare, SPACE_RUNS, F.col(plain))
     to_fold = F.when(odd & ~F.col(bare).rlike(FOLD_STABLE), F.col(bare))
     staged = staged.withColumn(folded, fold_compatibility(to_fold))
-    staged = staged.withColumn(target, F.coalesce(F.col(folded), F.col(bare))).drop(bare, folded)
-    staged = _rewrite_column(staged, target, [*PRINT_RULES, *LAYOUT_RULES], odd)
-    text = F.col(target)
     # Line ends are white space, so stripping lines and dropping empty ones amounts to
     # making each white-space run that holds a line end a single one.
-    plain_lines = strip(F.regexp_replace(text, PLAIN_LINE_ENDS, "\n"))
-    return staged.withColumn(target, F.when(odd, compact_lines(text)).otherwise(plain_lines)).drop(plain)
+    plain_lines = strip(F.regexp_replace(F.col(bare), PLAIN_LINE_ENDS, "\n"))
+    printed = reduce(_rewrite, [*PRINT_RULES, *LAYOUT_RULES], F.coalesce(folded, bare))
+    text = F.when(F.col(plain), plain_lines).otherwise(compact_lines(printed))
+    return staged.withColumn(target, text).drop(bare, plain, folded)
 
 
 def words(col: Column) -> Column:

@@ -71,21 +71,13 @@ def _score_splits(df: DataFrame, score: str, ranges: int) -> list[float]:
     return [-math.inf, *inner, math.inf]
 
 
-def score_curve(
-    df: DataFrame,
-    label: str = "label",
-    score: str = "score",
-    by: Sequence[str] = (),
-    ranges: int = SCORE_RANGES,
-) -> DataFrame:
-    """Per distinct score, high to low: positives and negatives at and above it.
+def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str], ranges: int) -> DataFrame:
+    """(by, score, pos, neg, __range) with running in-range totals tp and fp, high to low.
 
-    Columns: ``by``, score, pos, neg (at this score), tp, fp (at this score or
-    higher), n_pos, n_neg (all). Equal scores collapse before the first shuffle.
+    Equal scores collapse before the first shuffle; each window holds one score range.
     """
-    rows = df.select(*by, F.col(label).alias("__y"), F.col(score).cast("double").alias(score)).dropna(
-        subset=["__y", score]
-    )
+    rows = df.select(*by, F.col(label).alias("__y"), F.col(score).cast("double").alias(score))
+    rows = rows.filter(F.col("__y").isNotNull() & F.col(score).isNotNull())
     splits = _score_splits(rows, score, ranges)
     counts = rows.groupBy(*by, score).agg(
         F.count(F.when(F.col("__y") == 1, 1)).alias("pos"),
@@ -95,15 +87,35 @@ def score_curve(
         counts = Bucketizer(splits=splits, inputCol=score, outputCol="__range").transform(counts)
     else:
         counts = counts.withColumn("__range", F.lit(0.0))
-    group = list(by)
-    inside = Window.partitionBy(*group, "__range").orderBy(F.desc(score))
-    above = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("__range"))
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    inside = Window.partitionBy(*by, "__range").orderBy(F.desc(score))
+    return counts.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)})
+
+
+def _higher_ranges(by: Sequence[str]):
+    """Windows over per-range tables: the ranges from the top down, and all of them."""
+    group = list(by) or [F.lit(0)]
+    return Window.partitionBy(*group).orderBy(F.desc("__range")), Window.partitionBy(*group)
+
+
+def score_curve(
+    df: DataFrame,
+    label: str = "label",
+    score: str = "score",
+    by: Sequence[str] = (),
+    ranges: int = SCORE_RANGES,
+) -> DataFrame:
+    """Per distinct score, high to low: positives and negatives at and above it.
+
+    Columns: ``by``, score, pos, neg (at this score), tp, fp (at this score or
+    higher), n_pos, n_neg (all).
+    """
+    counts = _score_counts(df, label, score, by, ranges)
+    above, whole = _higher_ranges(by)
     per_range = (
-        counts.groupBy(*group, "__range")
+        counts.groupBy(*by, "__range")
         .agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
         .select(
-            *group,
+            *by,
             "__range",
             (F.sum("__pos").over(above) - F.col("__pos")).alias("__tp"),
             (F.sum("__neg").over(above) - F.col("__neg")).alias("__fp"),
@@ -111,16 +123,13 @@ def score_curve(
             F.sum("__neg").over(whole).alias("n_neg"),
         )
     )
-    running = counts.withColumns(
-        {"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}
-    )
     # Null-safe on the grouping columns, so a null group keeps its curve.
-    left, right = running.alias("c"), per_range.alias("r")
+    left, right = counts.alias("c"), per_range.alias("r")
     same = F.col("c.__range") == F.col("r.__range")
-    for g in group:
+    for g in by:
         same = same & F.col(f"c.{g}").eqNullSafe(F.col(f"r.{g}"))
     return left.join(right, same).select(
-        *[F.col(f"c.{g}").alias(g) for g in group],
+        *[F.col(f"c.{g}").alias(g) for g in by],
         score,
         "pos",
         "neg",
@@ -138,11 +147,21 @@ def roc_auc(
     by: Sequence[str] = (),
     ranges: int = SCORE_RANGES,
 ) -> DataFrame:
-    """Area under the ROC curve, ties counting half; null where one class is missing."""
-    curve = score_curve(df, label, score, by, ranges)
-    wins = F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2.0)
-    pairs = F.max("n_pos").cast("double") * F.max("n_neg").cast("double")
-    return curve.groupBy(*by).agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
+    """Area under the ROC curve, ties counting half; null where one class is missing.
+
+    Every negative counts the positives above it: those in its own range, and all of the
+    higher ranges'. The second part needs the per-range sums only, so nothing is joined.
+    """
+    counts = _score_counts(df, label, score, by, ranges)
+    above, _ = _higher_ranges(by)
+    own = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2.0))
+    per_range = counts.groupBy(*by, "__range").agg(
+        own.alias("__own"), F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg")
+    )
+    higher = (F.sum("__pos").over(above) - F.col("__pos")).cast("double")
+    wins = per_range.withColumn("__wins", F.col("__own") + F.col("__neg") * higher)
+    pairs = F.sum("__pos").cast("double") * F.sum("__neg").cast("double")
+    return wins.groupBy(*by).agg(F.try_divide(F.sum("__wins"), pairs).alias("roc_auc"))
 
 
 def _with_end_point(curve: DataFrame, by: Sequence[str], point: Mapping, end: Mapping) -> DataFrame:

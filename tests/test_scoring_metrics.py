@@ -252,3 +252,12 @@ def test_shuffle_partitions_do_not_matter(spark, sf_dir):
         found.add(M.roc_auc(labels, "toxic").first()["roc_auc"])
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert len(found) == 1
+
+
+def test_auc_plan_reads_once_and_curve_reuses(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("score", F.col("doc_id") % 17 / 17)
+    plan = M.roc_auc(labels, "toxic")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    curve = M.roc_curve(labels, "toxic")
+    curve.collect()
+    assert "ReusedExchange" in curve._jdf.queryExecution().executedPlan().toString()

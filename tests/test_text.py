@@ -162,3 +162,11 @@ def test_word_count_and_tokens(spark):
     for row in rows:
         assert row["n"] == len(row["t"].split())
         assert row["k"] == row["t"].lower().split()[:2]
+
+
+def test_filter_repeats_no_rule(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = keep_min_length(T.with_clean_text(docs, "text", "clean"), "clean", 20)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    marker = "d800"  # the unprintable rule
+    assert text.count(marker) <= 2
