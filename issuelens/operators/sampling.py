@@ -105,16 +105,23 @@ def rank_bands(
             F.array(*[F.least(F.col(f"rank_{i}").cast("long"), F.col("n")) for i in range(n_ranks)])
         ).alias("__cut", "__rank"),
     )
-    places = cuts.join(prefixes, names).filter(
-        (F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__rows"))
-    )
-    places = places.select(
-        *names, "__prefix", "__cut", (F.col("__rank") - F.col("__upto") + F.col("__rows")).alias("__nth")
+    holding = (F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__rows"))
+    for name in names:
+        holding = holding & (F.col(f"c.{name}") == F.col(f"p.{name}"))
+    places = inline_if_small(
+        cuts.alias("c")
+        .join(prefixes.alias("p"), holding, "left")
+        .select(
+            *[F.col(f"c.{name}").alias(name) for name in names],
+            "__cut",
+            "__prefix",
+            (F.col("__rank") - F.col("__upto") + F.col("__rows")).alias("__nth"),
+            (F.col("__rank") <= 0).alias("__none"),
+        )
     )
-    places = inline_if_small(places)
     in_prefix = Window.partitionBy(*names, "__prefix").orderBy("__order")
     found = (
-        slim.join(places.select(*names, "__prefix").distinct(), [*names, "__prefix"], "left_semi")
+        slim.join(places.select(*names, "__prefix"), [*names, "__prefix"], "left_semi")
         .withColumn("__nth", F.row_number().over(in_prefix).cast("long"))
         .join(places, [*names, "__prefix", "__nth"])
         .groupBy(*names)
@@ -124,10 +131,8 @@ def rank_bands(
             *[F.col(f"__at{i}.{f}").alias(f"__at{i}_{f}") for i in range(n_ranks) for f in order_fields],
         )
     )
-    bounds = inline_if_small(
-        wanted.select(*names, *[(F.col(f"rank_{i}") <= 0).alias(f"__none{i}") for i in range(n_ranks)])
-        .join(found, names, "left")
-    )
+    empty_cuts = [F.max(F.when(F.col("__cut") == i, F.col("__none"))).alias(f"__none{i}") for i in range(n_ranks)]
+    bounds = inline_if_small(places.groupBy(*names).agg(*empty_cuts).join(found, names, "left"))
 
     def is_past(i: int) -> Column:
         cut = F.struct(*[F.col(f"__at{i}_{f}").alias(f) for f in order_fields])
