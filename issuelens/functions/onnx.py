@@ -1,0 +1,47 @@
+"""A scorer factory for ONNX text classifiers, for :func:`scoring.score_with`.
+
+Needs ``onnxruntime`` and ``tokenizers`` on the executors and both files at a path they
+can read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+
+
+def onnx_scorer(model_path: str, tokenizer_path: str, max_length: int = 512) -> Callable:
+    """A factory whose scorer maps texts to class probabilities.
+
+    Texts are cut to ``max_length`` model tokens, the model's window, and padded to the
+    longest of their batch.
+    """
+
+    def factory():
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        session = onnxruntime.InferenceSession(model_path, options, providers=["CPUExecutionProvider"])
+        inputs = {i.name for i in session.get_inputs()}
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.enable_truncation(max_length)
+        tokenizer.enable_padding()
+
+        def score(texts):
+            encoded = tokenizer.encode_batch(list(texts))
+            columns = {
+                "input_ids": [e.ids for e in encoded],
+                "attention_mask": [e.attention_mask for e in encoded],
+                "token_type_ids": [e.type_ids for e in encoded],
+            }
+            feed = {name: np.array(rows, dtype=np.int64) for name, rows in columns.items() if name in inputs}
+            logits = session.run(None, feed)[0].astype(np.float64)
+            weights = np.exp(logits - logits.max(axis=1, keepdims=True))
+            return (weights / weights.sum(axis=1, keepdims=True)).tolist()
+
+        return score
+
+    return factory

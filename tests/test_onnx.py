@@ -1,0 +1,67 @@
+"""The ONNX scorer on a model small enough to write out by hand."""
+
+import math
+import struct
+
+import pytest
+
+from issuelens.functions.onnx import onnx_scorer
+from issuelens.operators import scoring as I
+
+pytest.importorskip("onnxruntime")
+pytest.importorskip("tokenizers")
+
+
+def varint(n):
+    out = b""
+    while True:
+        n, low = n >> 7, n & 127
+        out += bytes([low | (128 if n else 0)])
+        if not n:
+            return out
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tensor_type(name, kind, dims):
+    shape = b"".join(field(1, field(2, d) if isinstance(d, str) else field(1, d)) for d in dims)
+    return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+
+def node(op, inputs, outputs, attributes=b""):
+    return b"".join(field(1, i) for i in inputs) + b"".join(field(2, o) for o in outputs) + field(4, op) + attributes
+
+
+def tiny_model():
+    """logits = [0, number of real tokens]: sum of the mask times [0, 1]."""
+    to_float = field(5, field(1, "to") + field(3, 1) + field(20, 2))
+    nodes = [
+        node("Cast", ["attention_mask"], ["mask"], to_float),
+        node("ReduceSum", ["mask", "axis"], ["count"]),
+        node("MatMul", ["count", "spread"], ["logits"]),
+    ]
+    axis = field(1, 1) + field(2, 7) + field(8, "axis") + field(9, struct.pack("<q", 1))
+    spread = field(1, 1) + field(1, 2) + field(2, 1) + field(8, "spread") + field(9, struct.pack("<2f", 0, 1))
+    graph = b"".join(field(1, n) for n in nodes) + field(2, "g") + field(5, axis) + field(5, spread)
+    graph += field(11, tensor_type("attention_mask", 7, ["n", "s"])) + field(12, tensor_type("logits", 1, ["n", 2]))
+    return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
+
+
+def test_onnx_scorer(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "debt": 1}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    (tmp_path / "model.onnx").write_bytes(tiny_model())
+    factory = onnx_scorer(str(tmp_path / "model.onnx"), str(tmp_path / "tokenizer.json"), max_length=3)
+    df = spark.createDataFrame([(0, ""), (1, "debt here"), (2, "one two three four five")], "id int, text string")
+    rows = I.add_prediction(I.score_with(df, "text", factory)).orderBy("id").collect()
+    for row, n in zip(rows, (0, 2, 3)):
+        assert row["class_probabilities"][1] == pytest.approx(1 / (1 + math.exp(-n)), abs=1e-6)
+    assert [r["predicted_class"] for r in rows] == [0, 1, 1]
