@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens.functions.text import text_hash, word_count
@@ -18,8 +18,16 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def drop_null_rows(df: DataFrame, column: str | None = None) -> DataFrame:
-    """Drop rows where ``column`` is null, or where any column is."""
-    return df.na.drop("any", subset=None if column is None else [column])
+    """Drop rows where ``column`` is null, or where any column is; NaN counts as null.
+
+    Plain null checks, so that the scan can apply them.
+    """
+    types = dict(df.dtypes)
+    for name in df.columns if column is None else [column]:
+        df = df.filter(F.col(f"`{name}`").isNotNull())
+        if types[name] in ("float", "double"):
+            df = df.filter(~F.isnan(f"`{name}`"))
+    return df
 
 
 def drop_stray_index(df: DataFrame) -> DataFrame:
@@ -112,7 +120,7 @@ def scan_report(
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """Rows and share per label."""
+    """Rows and share per label; the total is taken from the per-label counts."""
     counts = df.groupBy(label).agg(F.count("*").alias("n_rows"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))
     return counts.withColumn("share", F.col("n_rows") / total)

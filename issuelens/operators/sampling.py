@@ -84,9 +84,10 @@ def rank_bands(
     names = [f"__s{i}" for i in range(len(strata_cols))]
     order_key = _order_key(seed, key_cols)
     order_fields = ["digest", *key_cols]
+    has_stratum = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in names])
     slim = (
         df.select(*strata_cols, order_key.alias("__order"))
-        .dropna(subset=names)
+        .filter(has_stratum)
         .withColumn("__prefix", F.substring("__order.digest", 1, PREFIX_DIGITS))
     )
     running = Window.partitionBy(*names).orderBy("__prefix")

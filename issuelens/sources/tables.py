@@ -69,20 +69,38 @@ def read_csv(
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if schema is None:
-        # Missing markers are cleared before types are guessed, so read as text first.
-        text = _existing(reader.csv, path)
-        types = reader.option("inferSchema", True).option("samplingRatio", 1.0).option("nullValue", "").csv(path).dtypes
-        texts = dict(types)
-        return text.select(*[_cast_cell(c, texts[c], na_values).alias(c) for c in text.columns])
-    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
-    text = _existing(reader.schema(as_text).csv, path)
-    return text.select(*[_cast_cell(f.name, f.dataType, na_values).alias(f.name) for f in wanted])
-
-
-def _cast_cell(name: str, data_type, na_values: Sequence[str]):
-    cell = F.when(~F.col(f"`{name}`").isin(*na_values), F.col(f"`{name}`")) if na_values else F.col(f"`{name}`")
-    return cell.cast(data_type)
+        text = _clear_missing(_existing(reader.csv, path), na_values)
+        wanted = _guess_types(text)
+    else:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
+        text = _clear_missing(_existing(reader.schema(as_text).csv, path), na_values)
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def _clear_missing(text: DataFrame, na_values: Sequence[str]) -> DataFrame:
+    if not na_values:
+        return text
+    cells = {c: F.col(f"`{c}`") for c in text.columns}
+    return text.select(*[F.when(~cell.isin(*na_values), cell).alias(c) for c, cell in cells.items()])
+
+
+def _guess_types(text: DataFrame) -> T.StructType:
+    """Whole numbers, numbers, booleans, else text; from all cells, in one aggregation."""
+    tests = {
+        "long": lambda c: c.try_cast("long").isNotNull(),
+        "double": lambda c: c.try_cast("double").isNotNull(),
+        "boolean": lambda c: F.lower(c).isin("true", "false"),
+    }
+    checks = []
+    for i, name in enumerate(text.columns):
+        cell = F.col(f"`{name}`")
+        for kind, test in tests.items():
+            all_fit = F.bool_and(F.when(cell.isNotNull(), test(cell)))
+            checks.append(F.coalesce(all_fit, F.lit(False)).alias(f"{i}_{kind}"))
+    fits = text.agg(*checks).first()
+    kinds = [next((k for k in tests if fits[f"{i}_{k}"]), "string") for i in range(len(text.columns))]
+    return T.StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in zip(text.columns, kinds)))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
