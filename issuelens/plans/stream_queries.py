@@ -67,7 +67,8 @@ def stream_clean_score(spark, folder):
 
 @query("SELECT DISTINCT sha256(text) AS text_hash FROM documents")
 def stream_dedup(spark, folder):
-    arrival = F.timestamp_seconds(F.col("doc_id"))
+    # Well after the epoch, where watermarks start and earlier rows would count as late.
+    arrival = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     stream = stream_table(spark, folder, "documents").select("doc_id", "text", arrival.alias("created_at"))
     return written(J.dedup_stream(stream, "created_at", "36500 days"), "stream-dedup").select("text_hash")
 
