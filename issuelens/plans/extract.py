@@ -31,6 +31,8 @@ def extract_texts(
     Only needed columns are read, and one shuffle (on the text digest) does the
     de-duplication. ``counters`` may hold observations named ``read``, ``cleaned`` and
     ``kept``; they count rows while the job runs, without a job of their own.
+    Observe in a session that trains no models afterwards (``newSession()``): Spark keeps
+    a manager there that ML closures fail to serialize.
     """
     require_columns(issues, body, *key_cols)
     needed = dict.fromkeys([*key_cols, *[c for c in keep if c in issues.columns], body])

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 SHUFFLE_BLOCK = 128 << 20
+LOCAL_MEMORY = "8g"
 
 
 def build_session(
@@ -35,6 +36,8 @@ def build_session(
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+        # One local process does everything; the default heap of 1 GB is too small for it.
+        builder = builder.config("spark.driver.memory", LOCAL_MEMORY)
     if largest_shuffle_bytes is not None:
         blocks = max(1, -(-largest_shuffle_bytes // SHUFFLE_BLOCK))
         builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(blocks)).config(

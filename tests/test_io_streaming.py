@@ -91,7 +91,8 @@ BODIES = ["This is a **real** issue with `code` in it, long enough", "## Heading
 
 
 def test_extract(spark):
-    df = spark.createDataFrame([(i, f"title {i}", b) for i, b in enumerate(BODIES)], "number long, title string, body string")
+    # Observations leave a manager in their session that ML closures cannot ship.
+    df = spark.newSession().createDataFrame([(i, f"title {i}", b) for i, b in enumerate(BODIES)], "number long, title string, body string")
     counters = {name: Observation() for name in ("read", "cleaned", "kept")}
     out = extract_texts(df, counters=counters)
     assert out.columns == ["text", "number", "title"] and len(out.collect()) == 2
