@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from issuelens.llm.common import table
+from issuelens.llm.decontaminate import contamination
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.warc import archive_pages
 
@@ -43,6 +44,32 @@ def op3_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+wi AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p0, p0 + n - 1), ' ') AS phrase FROM (
+    SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p0
+    FROM (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0))),
+wd AS (SELECT doc_id, n, p0, array_to_string(list_slice(w, p0, p0 + n - 1), ' ') AS phrase FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p0 FROM d, (SELECT DISTINCT n FROM wi) WHERE len(w) >= n)),
+m AS (SELECT doc_id, p0, wd.n AS n, item_id FROM wd JOIN wi USING (n, phrase)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p0, p0 + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_decontamination", OP7_SQL)
+def op7_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
