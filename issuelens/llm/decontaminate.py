@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    out = T.StructType.fromDDL(INDEX)
+    out = INDEX
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.value.get

@@ -5,6 +5,7 @@ from __future__ import annotations
 from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
 from issuelens.llm.sharding import shard_documents
+from issuelens.llm.simhash import fingerprint_hex, near_duplicates
 from issuelens.llm.warc import archive_pages
 
 LLM_QUERIES = {}
@@ -73,3 +74,9 @@ def op7_decontamination(spark, sf_dir):
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query("op9_simhash")
+def op9_simhash(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", fingerprint_hex())

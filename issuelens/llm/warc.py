@@ -19,6 +19,7 @@ from issuelens.session import materialize, scratch_path
 
 GAP = 64 << 10
 READ = 8 << 20
+TASK = 32 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 NONE = -(2**63)
 
@@ -183,7 +184,9 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
                 yield pd.DataFrame(rows[at : at + 64], columns=RECORD.names)
 
     stretch = F.expr(f"offset div {READ}")
-    narrow = selected.select("file", "offset", "length").repartition("file", stretch)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK))  # by the bytes to read, not by the narrow index rows
+    narrow = selected.select("file", "offset", "length").repartition(tasks, "file", stretch)
     out = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("page_id", "refers_to") else f for f in RECORD])
     records = narrow.sortWithinPartitions("file", "offset").mapInPandas(read, out)
     records = records.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
