@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
+from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
 from issuelens.llm.warc import archive_pages
@@ -66,6 +67,39 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def _op5_sql() -> str:
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    pattern = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    places = []
+    for label, phrase in PHRASES:
+        tests = " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(phrase.split()))
+        places.append(f"SELECT doc_id, '{label}' AS label, i - 1 AS p FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {tests}")
+    notices = ", ".join(f"('{label}', list_distinct(string_split('{text_}', ' ')))" for label, text_ in TEMPLATES)
+    return f"""
+WITH d AS (SELECT doc_id, {text} AS low, regexp_extract_all({text}, {pattern}) AS w FROM documents),
+places AS ({' UNION ALL '.join(places)}),
+base AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, regexp_extract_all(line, {pattern}) AS b FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+notices(label, tokens) AS (VALUES {notices}),
+pairs AS (SELECT doc_id, label, len(tokens) AS size, len(list_intersect(tokens, b)) AS shared FROM lines, notices
+          WHERE list_has_any(b, tokens)),
+found AS (SELECT doc_id, label, shared / size AS best FROM pairs WHERE shared >= ceil({THRESHOLD} * size - 1e-9)),
+more AS (SELECT doc_id, max(best) AS best FROM found GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+             FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN labelled USING (doc_id)
+"""
+
+
+@query("op5_licenses", _op5_sql())
+def op5_licenses(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontamination", OP7_SQL)
 def op7_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
