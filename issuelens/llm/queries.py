@@ -7,6 +7,7 @@ from issuelens.llm.decontaminate import contamination
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
+from issuelens.llm.toxicity import score_toxicity
 from issuelens.llm.warc import archive_pages
 
 LLM_QUERIES = {}
@@ -41,6 +42,11 @@ FROM d JOIN w USING (hex) JOIN b32 USING (hex)
 """
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_warc", OP3_SQL)
 def op3_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
