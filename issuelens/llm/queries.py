@@ -5,6 +5,7 @@ from __future__ import annotations
 from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
+from issuelens.llm.mixing import mix_documents
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
 from issuelens.llm.toxicity import score_toxicity
@@ -73,6 +74,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+@query("op4_mixing")
+def op4_mixing(spark, sf_dir):
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op5_sql() -> str:
     text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     pattern = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
