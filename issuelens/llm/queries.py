@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
@@ -126,3 +127,8 @@ def op8_sharding(spark, sf_dir):
 def op9_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", fingerprint_hex())
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -19,7 +19,6 @@ SEED = 42
 PIVOTS = 16
 HOT_BUCKET = 1024
 PENDING = 1 << 20
-KEYS = "doc_id long, fingerprint long"
 
 
 def fingerprint_of(text: bytes, width: int = 4) -> int:
@@ -46,17 +45,21 @@ def fingerprint_of(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fingerprint (a signed 64-bit number) of every row, from the whole text."""
+    """The columns of ``docs`` but its text, and the fingerprint of each whole text."""
     small_batches(docs.sparkSession)
+    keys = docs.drop("text")
+    names = [*keys.columns, "fingerprint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = strings(batch.column(1))
+            *held, texts = batch.columns
+            data, at = strings(texts)
             data = data.tobytes()
             found = [fingerprint_of(data[at[i] : at[i + 1]], width) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(found, pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, KEYS)
+    rows = docs.select(*keys.columns, F.col("text").cast("string"))
+    return rows.mapInArrow(run, keys.withColumn("fingerprint", F.lit(0).cast("long")).schema)
 
 
 def reference_fingerprints(n: int = PIVOTS) -> list[int]:
@@ -190,23 +193,30 @@ def near_links(nodes: DataFrame, within: int = 4, hot: int = HOT_BUCKET) -> Data
     return rows.mapInArrow(run, "a long, b long")
 
 
+def near_classes(rows: DataFrame, width: int = 4, within: int = 4) -> DataFrame:
+    """The columns of ``rows`` but its text, the fingerprint, and ``label``, the smallest
+    fingerprint reachable over links of at most ``within`` differing bits.
+
+    Equal fingerprints are one node, so copies are never paired.
+    """
+    prints = materialize(fingerprints(rows, width), "fingerprints")
+    nodes = materialize(prints.select("fingerprint").distinct(), "nodes")
+    labels = components(near_links(nodes, within)).withColumnRenamed("node", "fingerprint")
+    joined = prints.join(labels, "fingerprint", "left")
+    return joined.withColumn("label", F.coalesce("label", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, within: int = 4) -> DataFrame:
     """doc_id, fingerprint (signed), component_id for every row of ``docs``.
 
-    component_id is the smallest doc_id reachable over links of at most ``within``
-    differing bits; null ids do not count (null if there is no other). Null and empty
-    texts have fingerprint zero, which links as any other. Repeated rows are returned
-    as often as they occur. Other columns are not read.
+    component_id is the smallest doc_id reachable; null ids do not count (null if there
+    is no other). Null and empty texts have fingerprint zero, which links as any other.
+    Repeated rows are returned as often as they occur; an empty table gives an empty one.
+    Other columns are not read.
     """
-    prints = materialize(fingerprints(docs, width), "fingerprints")
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    nodes = materialize(nodes, "nodes")
-    labels = components(near_links(nodes, within))
-    classes = nodes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    classes = classes.withColumn("label", F.coalesce("label", "fingerprint"))
-    firsts = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = classes.join(firsts, "label").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = materialize(near_classes(docs.select(F.col("doc_id").cast("long"), "text"), width, within), "classes")
+    firsts = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return classes.join(firsts, "label").select("doc_id", "fingerprint", "component_id")
 
 
 def fingerprint_hex(column: str = "fingerprint"):
