@@ -7,6 +7,7 @@ from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from issuelens.llm.mixing import mix_documents
+from issuelens.llm.quality import score_quality
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
 from issuelens.llm.toxicity import score_toxicity
@@ -132,3 +133,8 @@ def op9_simhash(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
