@@ -7,6 +7,7 @@ from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from issuelens.llm.mixing import mix_documents
+from issuelens.llm.neighbours import nearest_neighbours
 from issuelens.llm.quality import score_quality
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
@@ -55,6 +56,11 @@ def op3_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op6_neighbours")
+def op6_neighbours(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
