@@ -11,6 +11,7 @@ from issuelens.llm.neighbours import nearest_neighbours
 from issuelens.llm.quality import score_quality
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
+from issuelens.llm.suffixes import remove_repeats
 from issuelens.llm.toxicity import score_toxicity
 from issuelens.llm.warc import archive_pages
 
@@ -46,6 +47,11 @@ FROM d JOIN w USING (hex) JOIN b32 USING (hex)
 """
 
 
+@query("op1_suffixes")
+def op1_suffixes(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
