@@ -114,7 +114,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None
         F.coalesce(path.cast("string"), F.lit("")).alias("path"),
         "text",
     )
-    scored = materialize(evidence(rows, model, 0.5 if share is None else float(share)), "evidence")
+    base = 0.5 if share is None else min(max(float(share), 1e-6), 1 - 1e-6)
+    scored = materialize(evidence(rows, model, base), "evidence")
     seen = scored.join(known, "doc_id", "left").withColumn("seen", F.coalesce("quality", "p"))
     rates, total = site_rates(seen)
     odds = F.log(F.col("p") / (1 - F.col("p")))

@@ -28,7 +28,8 @@ SIGNIFICANT = 15.0
 PREFIXES = range(4, 9)
 CACHE = 500_000
 SYMBOLS = 28
-MARGIN = 8.0
+MARGIN = 10.0
+PATHS = 4
 OWN_SHARE = 0.8
 
 # Which letters a look-alike may stand for.
@@ -95,11 +96,11 @@ class CharacterModel:
         return self.sources(token)[0]
 
     def sources(self, token: str) -> list[str]:
-        """Likely sources, best first: the best path to each state (last two letters) at the
-        end, as far as its log probability is within ``MARGIN`` of the best of all.
+        """Likely sources, best first: of the ``PATHS`` best paths to each state (last two
+        letters) at the end those with a log probability within ``MARGIN`` of the best.
         """
-        best: list[dict] = [{} for _ in range(len(token) + 1)]
-        best[0][(0, 0)] = (0.0, "")
+        best: list[dict[tuple[int, int], list]] = [{} for _ in range(len(token) + 1)]
+        best[0][(0, 0)] = [(0.0, "")]
         for at, char in enumerate(token):
             if not best[at]:
                 continue
@@ -119,18 +120,23 @@ class CharacterModel:
                 arcs.append((char, at + 1, 0.0))
                 if run > at + 1:
                     arcs += [(char, run, 1.0), (char * 2, run, 0.5)]
-            for (a, b), (score, text) in best[at].items():
+            for (a, b), paths in best[at].items():
                 for letters, to, cost in arcs:
-                    x, y, total = a, b, score - cost
+                    x, y, gain = a, b, -cost
                     for letter in letters:
                         z = symbol(letter)
-                        total += self.log[x][y][z]
+                        gain += self.log[x][y][z]
                         x, y = y, z
-                    held = best[to].get((x, y))
-                    if held is None or total > held[0]:
-                        best[to][(x, y)] = (total, text + letters)
-        ends = sorted(((score + self.log[a][b][0], text) for (a, b), (score, text) in best[-1].items()), reverse=True)
-        return [text for score, text in ends if score >= ends[0][0] - MARGIN]
+                    held = best[to].setdefault((x, y), [])
+                    held += [(score + gain, text + letters) for score, text in paths]
+                    if len(held) > PATHS:
+                        held[:] = sorted(set(held), reverse=True)[:PATHS]
+        ends = {}
+        for (a, b), paths in best[-1].items():
+            for score, text in paths:
+                ends[text] = max(score + self.log[a][b][0], ends.get(text, -np.inf))
+        ranked = sorted(((score, text) for text, score in ends.items()), reverse=True)
+        return [text for score, text in ranked if score >= ranked[0][0] - MARGIN]
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
@@ -184,20 +190,27 @@ class Restorer:
                 shape = skeleton(part)
                 if any(shape[:n] in self.skeletons for n in self.lengths if n <= len(shape)):
                     cores = {part, part.rstrip("!|+"), part.strip("!|+@$")}
-                    found = max((self.word(w) for core in sorted(cores) for w in self.model.sources(core)), default=0.0)
+                    disguised = not part.isalpha() or re.search(r"(.)\1\1", part)
+                    most = None if disguised else 1  # ordinary words keep their likeliest reading
+                    found = max((self.word(w) for core in sorted(cores) for w in self.model.sources(core)[:most]), default=0.0)
             total += found
         return total
 
     def spaced(self, letters: str) -> float:
         """Evidence of letters that were set apart: known words anywhere in the restored run."""
         run = letters.replace(" ", "").replace("\t", "")
-        shape, total = skeleton(run), 0.0
-        if any(shape[i : i + n] in self.skeletons for n in self.lengths for i in range(len(shape) - n + 1)):
-            restored, at = self.model.decode(run), 0
-            while at < len(restored):
-                ends = [e for e in range(len(restored), at + 3, -1) if restored[at:e] in self.weights]
-                total += self.weights[restored[at : ends[0]]] if ends else 0.0
-                at = ends[0] if ends else at + 1
+        shape = skeleton(run)
+        if not any(shape[i : i + n] in self.skeletons for n in self.lengths for i in range(len(shape) - n + 1)):
+            return 0.0
+        return max(self.inside(restored) for restored in self.model.sources(run))
+
+    def inside(self, restored: str) -> float:
+        """Evidence of the known words in a run of letters, longest first from the left."""
+        total, at = 0.0, 0
+        while at < len(restored):
+            ends = [e for e in range(len(restored), at + 3, -1) if restored[at:e] in self.weights]
+            total += self.weights[restored[at : ends[0]]] if ends else 0.0
+            at = ends[0] if ends else at + 1
         return total
 
     def text(self, text: str) -> tuple[float, int]:
