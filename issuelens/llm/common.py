@@ -42,6 +42,14 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def null_safe(column: str | Column) -> Column:
     """A key column that sorts and joins with nulls first and equal to each other."""
     column = F.col(column) if isinstance(column, str) else column

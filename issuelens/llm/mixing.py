@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from issuelens.llm.classify import Softmax, batch_features, fit_texts, labelled_sample
-from issuelens.llm.common import small_batches
+from issuelens.llm.common import fresh, small_batches
 from issuelens.session import materialize
 
 STEPS = 40
@@ -177,4 +177,4 @@ def repeat_documents(docs: DataFrame, labels: DataFrame, targets=None, low: floa
             kept = batch.select(list(range(batch.num_columns - 1)))
             yield kept.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
-    return docs.select("*", draw(seed)).mapInArrow(run, docs.schema)
+    return docs.select("*", draw(seed).alias(fresh(docs, "__draw"))).mapInArrow(run, docs.schema)

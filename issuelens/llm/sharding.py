@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.llm.common import numbered
+from issuelens.llm.common import fresh, numbered
 
 ROUNDS = 6
 PRIME = (1 << 31) - 1
@@ -83,7 +83,7 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> D
     if shards < 1:
         raise ValueError("at least one shard")
     columns = df.columns
-    copy = "_copy" + "_" * sum(c.startswith("_copy") for c in columns)
+    copy = fresh(df, "_copy")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(copy))
     spread = counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))))
     keys = [*order, *[c for c in columns if c not in order], copy]
