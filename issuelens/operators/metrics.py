@@ -18,6 +18,7 @@ from issuelens.functions.arrays import argmax
 from issuelens.operators.labels import detect_pair
 
 SCORE_RANGES = 1024
+LEAST_PROBABILITY = 1e-15
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
@@ -75,13 +76,14 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str], rang
     """(by, score, pos, neg, __range) with running in-range totals tp and fp, high to low.
 
     Equal scores collapse before the first shuffle; each window holds one score range.
+    Rows with a missing or NaN score, or a label other than 0 and 1, do not count.
     """
     rows = df.select(*by, F.col(label).alias("__y"), F.col(score).cast("double").alias(score))
-    rows = rows.filter(F.col("__y").isNotNull() & F.col(score).isNotNull())
+    rows = rows.filter(F.col("__y").isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
     splits = _score_splits(rows, score, ranges)
     counts = rows.groupBy(*by, score).agg(
         F.count(F.when(F.col("__y") == 1, 1)).alias("pos"),
-        F.count(F.when(F.col("__y") != 1, 1)).alias("neg"),
+        F.count(F.when(F.col("__y") == 0, 1)).alias("neg"),
     )
     if len(splits) > 2:
         counts = Bucketizer(splits=splits, inputCol=score, outputCol="__range").transform(counts)
@@ -348,7 +350,7 @@ def classification_report(
         ).alias("rows")
     ).select(F.inline("rows"))
     report = per_class.drop("tp").unionByName(summary)
-    return report.withColumns({c: F.round(c, digits) for c in [*scores, "support"]})
+    return report.withColumns({c: F.bround(c, digits) for c in [*scores, "support"]})
 
 
 def t_critical(confidence: float, freedom: int) -> float:
@@ -400,10 +402,16 @@ def weighted_log_loss(
     class_weights: Mapping[int, float] | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Class-weighted mean of -log p(truth); a plain mean without weights."""
-    nll = -F.log(F.get(probabilities, F.col(label)))
+    """Class-weighted mean of -log p(truth); a plain mean without weights.
+
+    A probability of zero counts as 1e-15, so a wrong certain answer costs much but not
+    everything. Rows without a label, or without a probability for it, do not count.
+    """
+    p = F.get(probabilities, F.col(label))
+    nll = -F.log(F.greatest(p, F.lit(LEAST_PROBABILITY)))
     weight = F.lit(1.0)
     if class_weights is not None:
         entries = [F.lit(x) for c, w in class_weights.items() for x in (c, float(w))]
         weight = F.try_element_at(F.create_map(*entries), F.col(label))
-    return df.groupBy(*by).agg((F.sum(weight * nll) / F.sum(weight)).alias("loss"))
+    weight = F.when(p.isNotNull(), weight)
+    return df.groupBy(*by).agg(F.try_divide(F.sum(weight * nll), F.sum(weight)).alias("loss"))

@@ -77,18 +77,18 @@ def rank_bands(
 
     ``ranks`` gets the table (strata, ``n``) and returns it with columns ``rank_0`` ..
     ``rank_{n_ranks-1}``, ascending. Band 0 holds the ``rank_0`` first rows, band 1 the
-    next up to ``rank_1``, and so on; rows past the last cut get ``n_ranks``. Rows with
-    a null stratum are dropped. Keys must be unique.
+    next up to ``rank_1``, and so on; rows past the last cut get ``n_ranks``. Null is a
+    stratum like any other. Rows that share a key cannot be told apart: the job raises if
+    a cut would have to fall between them.
     """
-    strata_cols = [F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)] or [F.lit(0).alias("__s0")]
+    # A struct around the value makes nulls equal in joins.
+    strata_cols = [F.struct(F.col(s).alias("v")).alias(f"__s{i}") for i, s in enumerate(strata)]
+    strata_cols = strata_cols or [F.struct(F.lit(0).alias("v")).alias("__s0")]
     names = [f"__s{i}" for i in range(len(strata_cols))]
     order_key = _order_key(seed, key_cols)
     order_fields = ["digest", *key_cols]
-    has_stratum = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in names])
-    slim = (
-        df.select(*strata_cols, order_key.alias("__order"))
-        .filter(has_stratum)
-        .withColumn("__prefix", F.substring("__order.digest", 1, PREFIX_DIGITS))
+    slim = df.select(*strata_cols, order_key.alias("__order")).withColumn(
+        "__prefix", F.substring("__order.digest", 1, PREFIX_DIGITS)
     )
     running = Window.partitionBy(*names).orderBy("__prefix")
     prefixes = (
@@ -96,10 +96,9 @@ def rank_bands(
         .agg(F.count("*").alias("__rows"))
         .withColumn("__upto", F.sum("__rows").over(running))
     )
-    renamed = dict(zip(names, strata))
     totals = prefixes.groupBy(*names).agg(F.max("__upto").alias("n"))
-    wanted = ranks(totals.withColumnsRenamed(renamed) if strata else totals)
-    wanted = wanted.withColumnsRenamed({v: k for k, v in renamed.items()})
+    plain = [F.col(f"{name}.v").alias(s) for name, s in zip(names, strata)]
+    wanted = ranks(totals.select(*names, *plain, "n"))
     cuts = wanted.select(
         *names,
         F.posexplode(
@@ -120,10 +119,14 @@ def rank_bands(
             (F.col("__rank") <= 0).alias("__none"),
         )
     )
+    same_key = F.raise_error(F.lit(f"{list(key_cols)} is not unique: a cut falls between rows that share a key"))
     in_prefix = Window.partitionBy(*names, "__prefix").orderBy("__order")
     found = (
         slim.join(places.select(*names, "__prefix"), [*names, "__prefix"], "left_semi")
-        .withColumn("__nth", F.row_number().over(in_prefix).cast("long"))
+        .withColumns(
+            {"__nth": F.row_number().over(in_prefix).cast("long"), "__next": F.lead("__order").over(in_prefix)}
+        )
+        .withColumn("__order", F.when(F.col("__next") == F.col("__order"), same_key).otherwise(F.col("__order")))
         .join(places, [*names, "__prefix", "__nth"])
         .groupBy(*names)
         .agg(*[F.max(F.when(F.col("__cut") == i, F.col("__order"))).alias(f"__at{i}") for i in range(n_ranks)])
@@ -141,7 +144,7 @@ def rank_bands(
 
     above = [F.when(is_past(i), 1).otherwise(0) for i in range(n_ranks)]
     return (
-        df.withColumns({f"__s{i}": F.col(s) for i, s in enumerate(strata)} or {"__s0": F.lit(0)})
+        df.select("*", *strata_cols)
         .join(bounds, names)
         .withColumn(target, reduce(lambda x, y: x + y, above))
         .select(*[c for c in df.columns if c != target], target)
@@ -184,29 +187,35 @@ def sample_rows(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42)
     return banded.filter("__band = 0").drop("__band")
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """An approximate sample in one pass, where the exact size does not matter."""
-    return df.sample(fraction=fraction, seed=seed)
+def _draw(seed: int, key_cols: Sequence[str]) -> Column:
+    """A whole number below 2**32 from the row's digest."""
+    return F.conv(F.substring(shuffle_digest(seed, key_cols), 1, 8), 16, 10).cast("long")
 
 
-def sample_fraction_by(df: DataFrame, label: str, fractions: dict, seed: int = 42) -> DataFrame:
-    return df.sampleBy(label, fractions, seed)
+def sample_fraction(df: DataFrame, fraction: float, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """An approximate sample in one pass, where the exact size does not matter; the same rows on any cluster."""
+    return df.filter(_draw(seed, key_cols) < round(fraction * 2**32))
+
+
+def sample_fraction_by(
+    df: DataFrame, label: str, fractions: dict, key_cols: Sequence[str], seed: int = 42
+) -> DataFrame:
+    """A fraction of each class; classes without a fraction, and unlabelled rows, go."""
+    limit = F.lit(0).cast("long")
+    for value, fraction in fractions.items():
+        limit = F.when(F.col(label) == value, round(fraction * 2**32)).otherwise(limit)
+    return df.filter(_draw(seed, key_cols) < limit)
 
 
 def balance_classes(
     df: DataFrame, key_cols: Sequence[str], label: str = "label", seed: int = 42
 ) -> DataFrame:
-    """Undersample every class to the size of the smallest."""
+    """Undersample every class to the size of the smallest; rows without a label are no class and go."""
     smallest = lambda t: t.withColumn("rank_0", F.min("n").over(_over_classes()))
-    banded = rank_bands(df, key_cols, [label], smallest, 1, seed, "__band")
+    banded = rank_bands(df.filter(F.col(label).isNotNull()), key_cols, [label], smallest, 1, seed, "__band")
     return banded.filter("__band = 0").drop("__band")
 
 
-def shuffled(df: DataFrame, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
-    """Global random order, for writing a shuffled table."""
-    return df.orderBy(shuffle_digest(seed, key_cols), *key_cols)
-
-
 def stratified_split(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -214,7 +223,7 @@ def stratified_split(
     test_size: float = 0.2,
     seed: int = 42,
 ) -> DataFrame:
-    """Add ``split``: train or test, with class shares kept."""
+    """Add ``split``: train or test, with class shares kept; unlabelled rows are a class of their own."""
     quota = lambda t: _split_quota(t, label, "n", test_size, "rank_0")
     banded = rank_bands(df, key_cols, [label], quota, 1, seed, "__band")
     return banded.withColumn("split", F.when(F.col("__band") == 0, TEST).otherwise(TRAIN)).drop("__band")
@@ -249,9 +258,9 @@ def kfold(
     )
 
 
-def kfold_hashed(df: DataFrame, key_cols: Sequence[str], k: int = 5) -> DataFrame:
+def kfold_hashed(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Folds of about equal size in a single pass."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*key_cols), F.lit(k)).cast("int") + 1)
+    return df.withColumn("fold", (_draw(seed, key_cols) % k).cast("int") + 1)
 
 
 def top_groups(df: DataFrame, group: str, label: str = "label", positive=1, n: int = 1) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +35,19 @@ CATEGORIES = [
     ("automation", "Automation"),
     ("people", "People"),
     ("port", "Portability"),
+    ("comp", "Compatibility"),
+    ("documentation", "Documentation"),
+    ("test", "Test"),
+    ("finetuned_TD", "Technical Debt (fine-tuned)"),
+    ("High_priority_roberta", "High Priority"),
+    ("finetuned_Priority", "High Priority (fine-tuned)"),
 ]
 
 # Model groups a user can pick as a whole.
 MODEL_GROUPS = {
     "TD": ["TD"],
     "FT_TD": ["finetuned_TD"],
-    "High_Priority": ["High_priority"],
+    "High_Priority": ["High_priority_roberta"],
     "FT_HighPriority": ["finetuned_Priority"],
     "Quality": ["comp", "main", "perf", "port", "reli", "secu", "usab"],
     "Types_TD": [
@@ -68,9 +76,10 @@ def linear_logits(
     """Bag-of-words logits: per class, bias plus the weights of the text's tokens.
 
     ``weights`` is (token, class, weight); ``key_cols`` are repeated per token, so keep
-    them narrow and join wide columns back by key. Token rows never leave their task: the
-    weight lookup is a map-side join and sums are combined before the shuffle, which
-    carries one narrow row per text.
+    them narrow and join wide columns back by key. Where the weights are small enough to
+    be sent to all tasks, token rows stay in theirs and the shuffle carries one narrow row
+    per text; else tokens are shuffled to their weights. Rows that share a key are scored
+    each on its own.
     """
     classes = range(len(bias))
     table = inline_if_small(
@@ -78,9 +87,23 @@ def linear_logits(
             *[F.sum(F.when(F.col("class") == c, F.col("weight"))).alias(f"__w{c}") for c in classes]
         )
     )
-    exploded = df.select(*key_cols, F.explode_outer(tokens(F.col(text), max_tokens)).alias("token"))
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    exploded = numbered.select(*key_cols, "__row", F.explode_outer(tokens(F.col(text), max_tokens)).alias("token"))
     logits = [F.coalesce(F.sum(f"__w{c}"), F.lit(0.0)) + F.lit(float(bias[c])) for c in classes]
-    return exploded.join(table, "token", "left").groupBy(*key_cols).agg(F.array(*logits).alias("logits"))
+    summed = exploded.join(table, "token", "left").groupBy(*key_cols, "__row").agg(F.array(*logits).alias("logits"))
+    return summed.drop("__row")
+
+
+_LOADED: dict[str, Scorer] = {}
+
+
+def loaded_scorer(pickled: bytes) -> Scorer:
+    """The scorer of this worker process; the last one is kept, told apart by its factory's bytes."""
+    key = hashlib.sha256(pickled).hexdigest()
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = cloudpickle.loads(pickled)()
+    return _LOADED[key]
 
 
 def score_with(
@@ -93,14 +116,16 @@ def score_with(
 ) -> DataFrame:
     """Add class probabilities from a user-supplied scorer.
 
-    ``scorer_factory`` is called once per Python task to load a model; the scorer maps
-    a list of texts to a list of probability lists. Only the text column goes to
+    ``scorer_factory`` is called once per Python worker to load a model, which later tasks
+    in the worker use again; the scorer maps a list of texts to a list of probability lists. Only the text column goes to
     Python. With ``skip_failed`` a batch the scorer raises on gets null probabilities,
     which the ensemble operators leave out.
     """
 
+    pickled = cloudpickle.dumps(scorer_factory)
+
     def score_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = scorer_factory()
+        scorer = loaded_scorer(pickled)
         for texts in batches:
             scored: list = []
             for start in range(0, len(texts), batch_size):
@@ -254,9 +279,14 @@ def group_members(spark: SparkSession, prefix: str = "") -> DataFrame:
 
 
 def debt_categories(scores: DataFrame, registry: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """The sorted categories whose model says class 1, for each key with any."""
-    found = scores.filter("predicted_class = 1").join(F.broadcast(registry), "model_id")
-    return found.groupBy(*key_cols).agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    """The sorted categories whose model says class 1, for each key with any.
+
+    A model that the registry does not list stands under its own id. ``registry`` may be
+    of any size: Spark chooses the join from what it measures.
+    """
+    found = scores.filter("predicted_class = 1").join(registry, "model_id", "left")
+    named = found.withColumn("category", F.coalesce("category", "model_id"))
+    return named.groupBy(*key_cols).agg(F.sort_array(F.collect_set("category")).alias("categories"))
 
 
 def named_probabilities(

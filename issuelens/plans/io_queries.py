@@ -45,6 +45,27 @@ def json_lines_round_trip(spark, folder):
     return tables.load_table(spark, path, "conv_id long, turn long, role string, text string")
 
 
+@query("SELECT doc_id, text, source FROM documents")
+def json_files_of_any_layout(spark, folder):
+    """Files under ``.json`` in turn as an array, as lines, as columns, and with a single record."""
+    fields = F.struct("doc_id", "text", "source")
+    rows = table(spark, folder, "documents").select("doc_id", fields.alias("r"), (F.col("doc_id") % 101 == 7).alias("alone"))
+    part = F.when(F.col("alone"), -F.col("doc_id") - 1).otherwise(F.floor(F.col("doc_id") / 50))
+    line = F.concat(F.to_json("r"), F.lit("\n"))  # the copy matters: collected JSON values share a buffer
+    groups = rows.groupBy(part.alias("part")).agg(F.collect_list("r").alias("r"), F.collect_list(line).alias("lines"))
+    cells = lambda c: F.map_from_entries(F.transform("r", lambda x: F.struct(x["doc_id"].cast("string"), x[c].cast("string"))))
+    columns = F.create_map(*[x for c in ("doc_id", "text", "source") for x in (F.lit(c), cells(c))])
+    value = (
+        F.when(F.col("part") < 0, F.to_json(F.get("r", F.lit(0))))
+        .when(F.col("part") % 3 == 0, F.to_json("r"))
+        .when(F.col("part") % 3 == 1, F.rtrim(F.array_join("lines", ""), F.lit("\n")))
+        .otherwise(F.to_json(columns))
+    )
+    path = scratch_path(spark, "layouts") + ".json"
+    groups.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return tables.load_table(spark, path, "doc_id long, text string, source string")
+
+
 @query("SELECT doc_id, text, source FROM documents")
 def json_columns_orient(spark, folder):
     """Column-oriented JSON texts of up to 100 documents each, and back to rows."""

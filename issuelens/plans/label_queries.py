@@ -49,12 +49,13 @@ def label_detect(spark, folder):
 
 
 @query(
-    """SELECT o_orderkey, o_orderstatus,
-      CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 END AS code FROM orders WHERE o_orderstatus <> 'P'"""
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'open' END AS state,
+      CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS code FROM orders"""
 )
 def label_detect_by_order(spark, folder):
-    rows = table(spark, folder, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus")
-    return L.encode_detected(rows, "o_orderstatus", "code")
+    state = F.when(F.col("o_orderstatus") == "F", "finished").otherwise("open")
+    rows = table(spark, folder, "orders").select("o_orderkey", state.alias("state"))
+    return L.encode_detected(rows, "state", "code")
 
 
 @query(f"WITH {NAMED} SELECT doc_id, label AS decoded FROM named")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from issuelens.functions import arrays
 from issuelens.operators import metrics as M
 from issuelens.operators.sampling import kfold
-from issuelens.plans.registry import CLASS_SCORES, PREDICTED, class_scores, predictions, query, r6
+from issuelens.plans.registry import CLASS_SCORES, PREDICTED, class_scores, predictions, query, r6, table
 from issuelens.plans.sampling_queries import KEY
+from issuelens.plans.score_job import predict_and_evaluate
+from issuelens.session import materialize
 
 SCORES = ["accuracy", "precision", "recall", "f1", "mcc"]
 
@@ -168,8 +170,8 @@ def report_sql(source: str) -> str:
         UNION ALL SELECT 'accuracy', sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s) FROM scores
         UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(s) FROM scores
         UNION ALL SELECT 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM scores)
-      SELECT class, round(precision, 3) AS precision, round(recall, 3) AS recall, round(f1_score, 3) AS f1_score,
-        round(support, 3) AS support FROM report"""
+      SELECT class, round_even(precision, 3) AS precision, round_even(recall, 3) AS recall, round_even(f1_score, 3) AS f1_score,
+        round_even(support, 3) AS support FROM report"""
 
 
 @query(f"WITH {PREDICTED}, pairs AS (SELECT label, predicted_class AS predicted FROM predicted), {report_sql('pairs')}")
@@ -232,3 +234,54 @@ def log_loss(spark, folder):
 )
 def weighted_log_loss(spark, folder):
     return rounded(M.weighted_log_loss(predictions(spark, folder), class_weights={0: 1.0, 1: 3.0}, by=["source"]), "loss")
+
+
+# Scores far from zero become certain: rows that are right or wrong with probability 0 or 1, and missing labels.
+CERTAIN = f"""{PREDICTED}, certain AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN label END AS label,
+    CASE WHEN z > 2 THEN 1.0 WHEN z < -2 THEN 0.0 ELSE p1 END AS p1 FROM predicted)"""
+
+
+def certain_predictions(spark, folder):
+    p = F.when(F.col("z") > 2, 1.0).when(F.col("z") < -2, 0.0).otherwise(F.col("class_probabilities")[1])
+    rows = predictions(spark, folder).withColumn("class_probabilities", F.array(1 - p, p))
+    return rows.withColumn("label", F.when(F.col("doc_id") % 7 != 0, F.col("label")))
+
+
+@query(
+    f"""WITH {CERTAIN} SELECT round(avg(-ln(greatest(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END, 1e-15))), 6) AS loss
+    FROM certain WHERE label IS NOT NULL"""
+)
+def log_loss_certain(spark, folder):
+    return rounded(M.weighted_log_loss(certain_predictions(spark, folder)), "loss")
+
+
+UNSCORED = f"""{PREDICTED}, scored AS (SELECT label, z FROM predicted WHERE doc_id % 5 <> 0)"""
+
+
+@query(f"WITH {UNSCORED}, {auc_sql('scored', 'label', 'z')} SELECT round(roc_auc, 6) AS roc_auc FROM auc")
+def roc_auc_with_nan(spark, folder):
+    """Every fifth row has NaN as its score and does not count."""
+    rows = predictions(spark, folder).withColumn("z", F.when(F.col("doc_id") % 5 == 0, float("nan")).otherwise(F.col("z")))
+    return rounded(M.roc_auc(rows, "label", "z"), "roc_auc")
+
+
+# Two classes with a precision of exactly 1/16, which rounds to 0.062.
+TIED = "tied AS (SELECT CASE WHEN doc_id % 16 = 0 THEN 1 ELSE 0 END AS label, 1 AS predicted FROM documents WHERE doc_id < (SELECT count(*) // 16 * 16 FROM documents))"
+
+
+@query(f"WITH {TIED}, {report_sql('tied')}")
+def classification_report_tie(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id")
+    whole = docs.agg((F.floor(F.count("*") / 16) * 16).alias("n"))
+    rows = docs.join(F.broadcast(whole), F.col("doc_id") < F.col("n"))
+    return M.classification_report(rows.select((F.col("doc_id") % 16 == 0).cast("int").alias("label"), F.lit(1).alias("predicted_class")))
+
+
+@query(f"WITH {PREDICTED}, {counts_sql('predicted')}, {auc_sql('predicted', 'label', 'p1')} SELECT {SCORES_SQL}, round(roc_auc, 6) AS roc_auc FROM counts, auc")
+def score_file_and_evaluate(spark, folder):
+    """One job: score a written table, keep the predictions, evaluate them."""
+    rows = materialize(predictions(spark, folder).select("doc_id", "label", "z", F.lit("t").alias("text")), "to-score")
+    positive = 1 / (1 + F.exp(-F.col("z")))
+    score = lambda df: df.withColumn("class_probabilities", F.array(1 - positive, positive))
+    _, metrics = predict_and_evaluate(rows, score)
+    return rounded(metrics.select(*SCORES, "roc_auc"), *SCORES, "roc_auc")

@@ -83,14 +83,28 @@ PREDICTED = (
 
 
 def class_scores(spark: SparkSession, folder: str, n_classes: int = 10) -> DataFrame:
-    """Multi-class logits from the first entries of each embedding."""
-    rows = table(spark, folder, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, n_classes), lambda x: x.cast("double") * 10)
-    return rows.select("vec_id", "label", logits.alias("logits"))
+    """Multi-class logits: inner products of an embedding with the mean of each class.
 
+    Means come from one aggregation with a sum per class and coordinate; the table of
+    means has a row per class and goes to the driver.
+    """
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    width = rows.agg(F.max(F.size("e"))).first()[0] or 0
+    sums = rows.groupBy("label").agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(width)]).alias("m"))
+    means = {r["label"]: r["m"] for r in sums.where(F.col("label") < n_classes).collect()}
 
-CLASS_SCORES = """class_scores AS (
-  SELECT vec_id, label, [CAST(x AS DOUBLE) * 10 for x in embedding[1:10]] AS logits FROM embeddings),
+    def product(mean):
+        pairs = F.zip_with("e", F.lit(mean), lambda x, y: x * y)
+        return F.round(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) * 10, 6)
+
+    return rows.select("vec_id", "label", F.array(*[product(means[c]) for c in range(n_classes)]).alias("logits"))
+
+
+CLASS_SCORES = """parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+means AS (SELECT label AS c, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM parts GROUP BY label, i) GROUP BY label),
+class_scores AS (
+  SELECT vec_id, label, list(round(list_dot_product(embedding::DOUBLE[], m) * 10, 6) ORDER BY c) AS logits
+  FROM embeddings, means GROUP BY vec_id, label),
 class_exp AS (
   SELECT vec_id, label, [exp(x - list_max(logits)) for x in logits] AS e FROM class_scores),
 class_probs AS (

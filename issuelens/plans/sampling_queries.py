@@ -158,19 +158,41 @@ def kfold_stratified(spark, folder):
     return S.kfold(docs(spark, folder), KEY, 5, strata=["label"]).select("doc_id", "label", "fold")
 
 
-@query()
+DRAW = "CAST('0x' || substr(md5('42:' || {}), 1, 8) AS BIGINT)"
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, CAST({DRAW.format('doc_id')} % 5 AS INTEGER) + 1 AS fold FROM labelled")
 def kfold_hashed(spark, folder):
     return S.kfold_hashed(docs(spark, folder), KEY, 5).select("doc_id", "fold")
 
 
-@query()
+@query(f"SELECT event_id, event_type FROM events WHERE {DRAW.format('event_id')} < {round(0.1 * 2**32)}")
 def sample_fraction(spark, folder):
-    return S.sample_fraction(table(spark, folder, "events").select("event_id", "event_type"), 0.1)
+    return S.sample_fraction(table(spark, folder, "events").select("event_id", "event_type"), 0.1, ["event_id"])
 
 
-@query()
+@query(
+    f"""WITH {LABELLED} SELECT doc_id, source, label FROM labelled
+    WHERE label = 1 OR label = 0 AND {DRAW.format('doc_id')} < {round(0.2 * 2**32)}"""
+)
 def sample_fraction_by_class(spark, folder):
-    return S.sample_fraction_by(docs(spark, folder), "label", {0: 0.2, 1: 1.0})
+    return S.sample_fraction_by(docs(spark, folder), "label", {0: 0.2, 1: 1.0}, KEY)
+
+
+# All documents, most of them without a label.
+SOME = """labelled AS (SELECT d.doc_id, d.source, l.toxic AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@query(
+    f"""WITH {SOME}, ranks AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) AS r FROM labelled),
+      {CLASSES}, {quota_sql('classes', 'n', 0.2).replace('rest DESC, label', 'rest DESC, label NULLS FIRST')}
+    SELECT doc_id, ranks.label, CASE WHEN r <= t THEN 'test' ELSE 'train' END AS split
+    FROM ranks JOIN quota ON ranks.label IS NOT DISTINCT FROM quota.label"""
+)
+def stratified_split_unlabelled(spark, folder):
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    rows = table(spark, folder, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return S.stratified_split(rows, KEY).select("doc_id", "label", "split")
 
 
 @query(

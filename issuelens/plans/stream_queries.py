@@ -19,6 +19,7 @@ from issuelens.plans.scoring_queries import BIAS, linear_sql, token_weights
 from issuelens.plans.text_queries import EVENTS_AS_DEBT, sql_clean
 from issuelens.session import scratch_path
 from issuelens.sources import issues as G
+from issuelens.sources.sinks import write_batch
 from issuelens.streaming import jobs as J
 
 
@@ -54,15 +55,16 @@ def stream_clean_score(spark, folder):
     weights = inline_if_small(token_weights(spark, folder))
     path = scratch_path(spark, "stream-scores")
 
-    def score(batch, _):
+    def score(batch, batch_id):
         logits = I.linear_logits(batch, ["doc_id", "clean_chars"], "text", weights, BIAS)
         scored = I.predict_logits(logits)
-        scored.select(
+        narrow = scored.select(
             "doc_id", "clean_chars", "predicted_class", r6(F.get("class_probabilities", F.lit(1))).alias("p1")
-        ).write.mode("append").parquet(path)
+        )
+        write_batch(narrow, path, batch_id)
 
     J.start_batch_sink(cleaned, score, f"{path}_checkpoint", mode="append", available_now=True).awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch_id")
 
 
 @query("SELECT DISTINCT sha256(text) AS text_hash FROM documents")

@@ -65,6 +65,13 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_predictions(df: DataFrame, path: str, run_id: str, source: str) -> None:
-    """Add one run's predictions to a table partitioned by run."""
+    """Put one run's predictions into a table partitioned by run; a repeated run replaces its own rows."""
     tagged = df.withColumns({"source": F.lit(source), "run_id": F.lit(run_id)})
-    tagged.write.mode("append").partitionBy("run_id").parquet(path)
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One micro-batch of a stream as a partition of its own, so that a retry replaces it."""
+    writer = df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,13 +62,15 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     na_values: Sequence[str] = NA_VALUES,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
     Give a schema for large inputs: inference reads the data once more. Files with
-    quoted line breaks cannot be split, so write them to Parquet once.
+    quoted line breaks cannot be split; where there are none, ``multi_line=False`` lets
+    many tasks read one file.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is None:
         text = _clear_missing(_existing(reader.csv, path), na_values)
         wanted = _guess_types(text)
@@ -115,6 +118,11 @@ def read_json_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return _existing((reader if schema is None else reader.schema(schema)).json, path)
 
 
+def _whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    # As an argument: PySpark lets the default of the argument win over the option.
+    return _existing(lambda p: spark.read.text(p, wholetext=True), path)
+
+
 def read_json_columns(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Files that each hold ``{"column": {"row": value}}``.
 
@@ -122,7 +130,7 @@ def read_json_columns(spark: SparkSession, path: str, schema: T.StructType | str
     is parsed by one task but its rows are built by many.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    files = _existing(spark.read.option("wholetext", True).text, path)
+    files = _whole_files(spark, path)
     return spread_json_columns(files.select(F.input_file_name().alias("file"), "value"), "file", "value", wanted)
 
 
@@ -137,21 +145,45 @@ def spread_json_columns(documents: DataFrame, key: str, value: str, schema: T.St
     return cells.groupBy(key, "__row").agg(*picked).drop(key, "__row")
 
 
+def _json_layout(text: Column) -> Column:
+    """What a whole JSON file holds: ``lines``, ``columns`` or ``records`` (an array or one record)."""
+    body = F.ltrim(text)
+    lines = F.rlike(body, F.lit(r"^\{[^\n]*\}[ \t\r]*\n\s*\{"))
+    cells = F.map_values(F.from_json(body, "map<string,string>"))
+    nested = F.startswith(body, F.lit("{")) & F.forall(cells, lambda v: F.startswith(F.ltrim(v), F.lit("{")))
+    return F.when(lines, "lines").when(nested, "columns").otherwise("records")
+
+
 def read_json(spark: SparkSession, path: str, schema=None, orient: str | None = None) -> DataFrame:
-    """JSON documents of either layout; ``orient`` is ``records`` or ``columns``.
+    """JSON files of any layout; ``orient`` is ``records``, ``lines`` or ``columns``.
 
-    Without it the first character of the first file decides: ``[`` means records.
+    Without it every file is looked at: an array of records, one record, one record a
+    line, or columns of cells (an object whose values are all objects). A folder may hold
+    files of several layouts; their rows are put together by column name. Looking reads
+    each file whole, so give ``orient`` for large ones.
     """
-    if orient is None:
-        head = _existing(spark.read.option("wholetext", True).text, path).select(F.substring(F.ltrim("value"), 1, 1))
-        first = head.first()
-        orient = "columns" if first is not None and first[0] == "{" else "records"
+    if orient is not None:
+        return _read_json_layout(spark, path, schema, orient)
+    files = _whole_files(spark, path)
+    found = files.select(F.col("_metadata.file_path").alias("file"), _json_layout(F.col("value")).alias("layout"))
+    layouts = sorted(r["layout"] for r in found.select("layout").distinct().collect())
+    if len(layouts) <= 1:
+        return _read_json_layout(spark, path, schema, layouts[0] if layouts else "records")
+    parts = []
+    for layout in layouts:  # a folder of mixed files: the list of their names is what comes to the driver
+        names = [r["file"] for r in found.where(F.col("layout") == layout).select("file").collect()]
+        parts.append(_read_json_layout(spark, names, schema, layout))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _read_json_layout(spark: SparkSession, path: str | list[str], schema, orient: str) -> DataFrame:
+    if orient == "lines":
+        return read_json_lines(spark, path, schema)
     if orient == "records":
         return read_json_records(spark, path, schema)
     if schema is None:
         names = (
-            spark.read.option("wholetext", True)
-            .text(path)
+            _whole_files(spark, path)
             .select(F.explode(F.json_object_keys("value")).alias("name"))
             .distinct()
             .toArrow()

@@ -23,7 +23,7 @@ def forty(spark):
 
 @pytest.fixture(scope="module")
 def repos(spark):
-    counts = [("owner/alpha", 1, 10), ("owner/alpha", 0, 20), ("owner/beta", 1, 5), ("owner/beta", 0, 10)]
+    counts = [("team-x/core", 1, 12), ("team-x/core", 0, 17), ("team-y/site", 1, 6), ("team-y/site", 0, 11)]
     rows = [(repo, label) for repo, label, n in counts for _ in range(n)]
     return frame(spark, [(i, label, repo) for i, (repo, label) in enumerate(rows)], "id long, label int, repo string")
 
@@ -60,12 +60,12 @@ def test_percent_split(forty):
 
 def test_top_group(repos):
     rest, held = S.holdout_top_group(repos, "repo")
-    assert (rest.count(), held.count()) == (15, 30)
+    assert (rest.count(), held.count()) == (17, 29)
     rest, held = S.holdout_top_group_positives(repos, "repo")
-    assert (rest.count(), held.count()) == (15, 10)
+    assert (rest.count(), held.count()) == (17, 12)
     rest, held = S.holdout_top_group_per_class(repos, "repo")
-    assert (rest.count(), held.count()) == (15, 30)
-    assert sizes(S.top_groups_balanced(repos, "repo", ["id"]), "label") == {(0,): 15, (1,): 15}
+    assert (rest.count(), held.count()) == (17, 29)
+    assert sizes(S.top_groups_balanced(repos, "repo", ["id"]), "label") == {(0,): 18, (1,): 18}
 
 
 def test_no_positives_means_no_holdout(spark):
@@ -111,7 +111,7 @@ def test_split_job_moves_negatives(spark):
 
 def test_overlapping_job_keeps_all_rows(repos):
     divided, top = split_job_overlapping(repos, ["id"], group="repo", numeric_labels=True)
-    assert divided.count() == 45 and top.count() == 30
+    assert divided.count() == 46 and top.count() == 36
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -190,3 +190,18 @@ def test_ordinal_and_one_vs_rest(spark):
 def test_numeric_label_rejects_text(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         spark.createDataFrame([("x",)], "label string").select(L.numeric_label(F.col("label"))).collect()
+
+
+def test_a_cut_between_equal_keys_raises(spark):
+    df = frame(spark, [(i // 10, i % 2) for i in range(100)])
+    with pytest.raises(Exception, match="not unique"):
+        S.sample_rows(df, 5, ["id"]).collect()
+    assert S.sample_rows(df, 30, ["id"]).count() == 30  # the cut falls between keys
+
+
+def test_unlabelled_rows_stay_in_splits(spark):
+    df = frame(spark, [(i, [0, 1, None][i % 3]) for i in range(30)])
+    split = S.stratified_split(df, ["id"])
+    assert sizes(split, "split", "label") == {(s, x): 8 if s == "train" else 2 for s in ("train", "test") for x in (0, 1, None)}
+    assert S.top_up_holdout(split, ["id"]).count() == 30
+    assert sizes(S.balance_classes(df, ["id"]), "label") == {(0,): 10, (1,): 10}

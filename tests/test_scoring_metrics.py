@@ -14,8 +14,9 @@ from issuelens.operators import scoring as I
 from issuelens.operators import training as TR
 from issuelens.plans.score_job import predict_and_evaluate, predict_table
 
-TEN = [(1, 1, 0.90), (0, 0, 0.20), (1, 1, 0.85), (0, 0, 0.25), (1, 1, 0.95)]
-TEN += [(1, 0, 0.60), (0, 0, 0.30), (0, 0, 0.35), (1, 1, 0.88), (0, 1, 0.55)]
+# Truth, guess, probability of class 1: four hits, two misses, one false alarm, five rejections.
+DOZEN = [(1, 1, 0.77), (1, 1, 0.64), (1, 0, 0.41), (0, 0, 0.33), (0, 0, 0.12), (0, 1, 0.58)]
+DOZEN += [(0, 0, 0.07), (1, 1, 0.93), (0, 0, 0.45), (1, 1, 0.51), (0, 0, 0.28), (1, 0, 0.19)]
 
 
 def predictions(spark, rows):
@@ -23,12 +24,12 @@ def predictions(spark, rows):
     return spark.createDataFrame(data, "id long, label int, predicted_class int, class_probabilities array<double>")
 
 
-def test_metrics_of_ten(spark):
-    row = M.compute_metrics(predictions(spark, TEN)).first()
-    assert row["confusion_matrix"] == [[4, 1], [1, 4]]
-    for name in ("accuracy", "precision", "recall", "f1"):
-        assert row[name] == pytest.approx(0.8)
-    assert row["mcc"] == pytest.approx(0.6) and row["roc_auc"] == pytest.approx(1.0)
+def test_metrics_of_a_dozen(spark):
+    row = M.compute_metrics(predictions(spark, DOZEN)).first()
+    assert row["confusion_matrix"] == [[5, 1], [2, 4]]
+    wanted = {"accuracy": 9 / 12, "precision": 4 / 5, "recall": 4 / 6, "f1": 8 / 11, "mcc": 18 / 1260**0.5, "roc_auc": 29 / 36}
+    for name, value in wanted.items():
+        assert row[name] == pytest.approx(value)
 
 
 def test_perfect_and_one_class(spark):
@@ -39,11 +40,11 @@ def test_perfect_and_one_class(spark):
 
 
 def test_text_truth_and_text_predictions(spark):
-    rows = predictions(spark, TEN)
+    rows = predictions(spark, DOZEN)
     name = lambda c: F.when(F.col(c) == 1, "td").otherwise("non_td")
     for cols in (["label"], ["predicted_class"], ["label", "predicted_class"]):
         row = M.compute_metrics(rows.withColumns({c: name(c) for c in cols})).first()
-        assert row["f1"] == pytest.approx(0.8) and row["roc_auc"] == pytest.approx(1.0)
+        assert row["f1"] == pytest.approx(8 / 11) and row["roc_auc"] == pytest.approx(29 / 36)
 
 
 SCORES = st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12)), min_size=1, max_size=80)
@@ -95,9 +96,9 @@ def test_saturated_scores_stay_split(spark):
 
 
 def test_report_values(spark):
-    rows = {r["class"]: r for r in M.classification_report(predictions(spark, TEN)).collect()}
+    rows = {r["class"]: r for r in M.classification_report(predictions(spark, DOZEN)).collect()}
     assert set(rows) == {"0", "1", "accuracy", "macro avg", "weighted avg"}
-    assert rows["1"]["precision"] == 0.8 and rows["1"]["support"] == 5.0 and rows["accuracy"]["support"] == 0.8
+    assert rows["1"]["precision"] == 0.8 and rows["1"]["support"] == 6.0 and rows["accuracy"]["support"] == 0.75
 
 
 def test_t_values():
@@ -215,7 +216,9 @@ def test_top_classes(spark):
 
 
 def test_registry(spark):
-    assert I.model_registry(spark).count() == 17
+    assert I.model_registry(spark).count() == len(I.CATEGORIES) == 23
+    members = I.group_members(spark).select("model_id")
+    assert members.join(I.model_registry(spark), "model_id", "left_anti").count() == 0
     groups = {r["model_group"]: r["count"] for r in I.group_members(spark).groupBy("model_group").count().collect()}
     assert groups["Quality"] == 7 and groups["Types_TD"] == 8 and groups["TD"] == 1
 
@@ -261,3 +264,33 @@ def test_auc_plan_reads_once_and_curve_reuses(spark, sf_dir):
     curve = M.roc_curve(labels, "toxic")
     curve.collect()
     assert "ReusedExchange" in curve._jdf.queryExecution().executedPlan().toString()
+
+
+def test_certain_wrong_answers_cost_and_missing_labels_do_not(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (0, [0.0, 1.0]), (None, [0.5, 0.5]), (1, None)], "label int, class_probabilities array<double>")
+    assert M.weighted_log_loss(df).first()["loss"] == pytest.approx(15 * 2.302585092994046 / 2)
+
+
+def test_nan_scores_and_other_labels_do_not_count(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan")), (2, 0.95), (None, 0.2)], "label int, score double")
+    assert M.roc_auc(df).first()["roc_auc"] == 1.0
+
+
+def test_equal_keys_are_scored_each_on_its_own(spark):
+    df = spark.createDataFrame([(1, "good"), (1, "good good")], "id long, text string")
+    weights = spark.createDataFrame([("good", 0, 0.0), ("good", 1, 1.0)], "token string, class int, weight double")
+    got = sorted(r["logits"][1] for r in I.linear_logits(df, ["id"], "text", weights, [0.0, 0.0]).collect())
+    assert got == [1.0, 2.0]
+
+
+def test_model_is_loaded_once_per_worker():
+    from pyspark import cloudpickle
+
+    factory = cloudpickle.dumps(lambda: object())
+    first = I.loaded_scorer(factory)
+    assert all(I.loaded_scorer(factory) is first for _ in range(5))
+
+
+def test_unlisted_models_keep_their_id(spark):
+    scores = spark.createDataFrame([(1, "port", 1), (1, "own_model", 1), (2, "port", 0)], "id int, model_id string, predicted_class int")
+    assert [tuple(r) for r in I.debt_categories(scores, I.model_registry(spark), ["id"]).collect()] == [(1, ["Portability", "own_model"])]
