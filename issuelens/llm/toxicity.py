@@ -9,8 +9,10 @@ a naive Bayes model over words and word beginnings and a two-variable calibratio
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,13 +52,22 @@ def symbol(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else 27
 
 
+@lru_cache(maxsize=65536)
+def bare(char: str) -> str:
+    """The letter under accents or in another width; other characters as they are."""
+    if char < "\x80":
+        return char
+    first = unicodedata.normalize("NFKD", char)[:1].lower()
+    return first if "a" <= first <= "z" else char
+
+
 def skeleton(token: str) -> str:
     """What a token and all its possible sources have in common."""
     out: list[str] = []
     for char in token:
         if char in SEPARATORS:
             continue
-        char = LOOKALIKES.get(char, char)[0]
+        char = bare(LOOKALIKES.get(char, char)[0])
         char = CLASSES.get(char, char)
         if not out or out[-1] != char:
             out.append(char)
@@ -118,6 +129,8 @@ class CharacterModel:
                 arcs.append(("", run, 6.0))
             else:
                 arcs.append((char, at + 1, 0.0))
+                if bare(char) != char:
+                    arcs.append((bare(char), at + 1, 0.5))
                 if run > at + 1:
                     arcs += [(char, run, 1.0), (char * 2, run, 0.5)]
             for (a, b), paths in best[at].items():
@@ -190,7 +203,7 @@ class Restorer:
                 shape = skeleton(part)
                 if any(shape[:n] in self.skeletons for n in self.lengths if n <= len(shape)):
                     cores = {part, part.rstrip("!|+"), part.strip("!|+@$")}
-                    disguised = not part.isalpha() or re.search(r"(.)\1\1", part)
+                    disguised = not part.isalpha() or not part.isascii() or re.search(r"(.)\1\1", part)
                     most = None if disguised else 1  # ordinary words keep their likeliest reading
                     found = max((self.word(w) for core in sorted(cores) for w in self.model.sources(core)[:most]), default=0.0)
             total += found

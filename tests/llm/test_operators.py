@@ -73,7 +73,7 @@ def test_equal_prefixes_against_strings():
         assert len({s for v in classes.values() for s in v}) == len(classes)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
 def test_repeats(spark, rows, hot, monkeypatch):
     monkeypatch.setattr(suffixes.resolve, "__defaults__", (hot,))
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
@@ -261,6 +261,7 @@ def test_restoration(spark):
     for text, want in [
         ("1d10t", 5), ("i d i o t", 5), ("i.d.i.o.t", 5), ("IDIOOOT!!!", 5), ("$tup1d", 4), ("cl0wn,", 3), ("réeuxment", 2),
         ("the idea of", 0), ("", 0), ("clown clown", 6), ("you are an i d i o t", 5), ("clowning", 0),
+        ("ïdîot", 5), ("ｃｌｏｗｎ", 3), ("réuxment", 0), ("id!ot", 5), ("i_d_i_o_t", 5), ("cl\u200bown", 3),
     ]:
         assert restorer.text(text)[0] == want, text
     assert skeleton("1d10t") == skeleton("idiot") == skeleton("i-d_iiot")
