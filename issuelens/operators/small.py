@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INLINE_ROWS = 10_000
+INLINE_BYTES = 8 << 20
+FIRST_LOOK = 64
 
 
-def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS) -> DataFrame:
-    """``df`` as a broadcast local table if it has at most ``max_rows`` rows.
+def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> DataFrame:
+    """``df`` as a broadcast local table if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    Fetches no more than ``max_rows + 1`` rows to find out, partition by partition. A
-    larger side comes back as it was, without a hint, so the join shuffles and adaptive
-    execution splits any skewed partition.
+    A few rows are fetched first; more only if rows of their size would stay within the
+    limit. A larger side comes back as it was, without a hint, so the join shuffles and
+    adaptive execution splits any skewed partition.
     """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
+    look = min(FIRST_LOOK, max_rows + 1)
+    rows = df.take(look)
+    if len(rows) == look:
+        each = len(pickle.dumps(rows)) / len(rows)
+        if each * look > max_bytes:
+            return df
+        max_rows = min(max_rows, int(max_bytes / each) + look)
+        rows = df.take(max_rows + 1)
+    if len(rows) > max_rows or len(pickle.dumps(rows)) > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

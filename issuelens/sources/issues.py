@@ -68,6 +68,8 @@ def newest_issues(issues: DataFrame, limit: int | None = 100, created: str = "cr
         wanted = latest.orderBy(F.desc("__created"), F.desc(key)).limit(limit).select(key)
         rows = issues.join(inline_if_small(wanted), key, "left_semi")
     columns = issues.columns
-    latest_version = F.struct(created, *[c for c in ("updated_at",) if c in columns])
+    # Versions with equal times: a hash of the whole row decides, the same on every run.
+    content = F.xxhash64(F.to_json(F.struct(*columns)))
+    latest_version = F.struct(created, *[c for c in ("updated_at",) if c in columns], content.alias("__content"))
     unique = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), latest_version).alias("__row"))
     return unique.select("__row.*").orderBy(F.desc(created), F.desc(key))

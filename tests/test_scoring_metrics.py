@@ -294,3 +294,15 @@ def test_model_is_loaded_once_per_worker():
 def test_unlisted_models_keep_their_id(spark):
     scores = spark.createDataFrame([(1, "port", 1), (1, "own_model", 1), (2, "port", 0)], "id int, model_id string, predicted_class int")
     assert [tuple(r) for r in I.debt_categories(scores, I.model_registry(spark), ["id"]).collect()] == [(1, ["Portability", "own_model"])]
+
+
+def test_join_sides_are_bounded_by_rows_and_bytes(spark):
+    from issuelens.operators.small import inline_if_small
+
+    few, many = spark.range(500), spark.range(501)
+    assert inline_if_small(few, max_rows=500) is not few
+    assert inline_if_small(many, max_rows=500) is many
+    wide = spark.range(300).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    short = wide.limit(70)
+    assert inline_if_small(wide) is wide and inline_if_small(short, max_bytes=1 << 20) is short
+    assert inline_if_small(short) is not short
