@@ -1,7 +1,7 @@
 """Streaming queries: each drains a file stream into a table and returns it.
 
-The last windows of a stream stay open until later rows push the watermark past
-them, so the SQL counts closed windows only.
+The given tables end, so windowed queries add a row far in the future, which closes the
+last windows too.
 """
 
 from __future__ import annotations
@@ -75,17 +75,18 @@ def stream_dedup(spark, folder):
     return written(J.dedup_stream(stream, "created_at", "36500 days"), "stream-dedup").select("text_hash")
 
 
-CLOSED = "<= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+def closed(stream):
+    return J.with_closing_row(stream, "ts", scratch_path(stream.sparkSession, "closing"))
 
 
 @query(
     f"""WITH {EVENTS_AS_DEBT}, windows AS (SELECT date_trunc('day', ts) AS s, user_id, count(*) AS n_rows,
         CAST(sum(predicted_class) AS BIGINT) AS n_debt, round(avg(predicted_class), 6) AS density FROM debt GROUP BY ALL)
     SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
-      user_id, n_rows, n_debt, density FROM windows WHERE s + INTERVAL 1 DAY {CLOSED}"""
+      user_id, n_rows, n_debt, density FROM windows"""
 )
 def stream_density_tumbling(spark, folder):
-    rows = written(J.density_tumbling(debt_events(spark, folder), "ts", ["user_id"]), "stream-tumbling")
+    rows = written(J.density_tumbling(closed(debt_events(spark, folder)), "ts", ["user_id"]), "stream-tumbling")
     return stamped(rows, "window_start", "window_end").withColumn("density", r6("density"))
 
 
@@ -95,10 +96,10 @@ def stream_density_tumbling(spark, folder):
       windows AS (SELECT s, event_type, count(*) AS n_rows, CAST(sum(predicted_class) AS BIGINT) AS n_debt,
         round(avg(predicted_class), 6) AS density FROM placed GROUP BY ALL)
     SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
-      event_type, n_rows, n_debt, density FROM windows WHERE s + INTERVAL 7 DAY {CLOSED}"""
+      event_type, n_rows, n_debt, density FROM windows"""
 )
 def stream_density_sliding(spark, folder):
-    rows = written(J.density_sliding(debt_events(spark, folder), "ts", ["event_type"]), "stream-sliding")
+    rows = written(J.density_sliding(closed(debt_events(spark, folder)), "ts", ["event_type"]), "stream-sliding")
     return stamped(rows, "window_start", "window_end").withColumn("density", r6("density"))
 
 
@@ -108,11 +109,11 @@ def stream_density_sliding(spark, folder):
       numbered AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM errors),
       bursts AS (SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 6 HOUR AS e, count(*) AS n_rows FROM numbered GROUP BY user_id, burst)
     SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS burst_start, strftime(e, '%Y-%m-%d %H:%M:%S') AS burst_end, user_id, n_rows
-    FROM bursts WHERE e <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type = 'error')"""
+    FROM bursts"""
 )
 def stream_debt_bursts(spark, folder):
     errors = debt_events(spark, folder).filter("predicted_class = 1")
-    rows = written(J.debt_bursts(errors, "ts", ["user_id"], "6 hours"), "stream-bursts")
+    rows = written(J.debt_bursts(closed(errors), "ts", ["user_id"], "6 hours"), "stream-bursts")
     return stamped(rows, "burst_start", "burst_end")
 
 

@@ -12,6 +12,8 @@ from issuelens.functions.text import text_hash, with_clean_text
 from issuelens.operators.metrics import binary_scores
 from issuelens.operators.relational import density_measures, keep_min_length
 
+CLOSING_TIME = "9000-01-01 00:00:00"
+
 
 def clean_stream(stream: DataFrame, body: str = "body", min_length: int = 20) -> DataFrame:
     """Clean incoming bodies and drop short ones; stateless."""
@@ -156,8 +158,24 @@ def start_batch_sink(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def with_closing_row(stream: DataFrame, event_time: str, folder: str) -> DataFrame:
+    """A bounded stream followed by one row far in the future, for drains that must be complete.
+
+    The row moves the watermark past all windows of the stream, so they are emitted; its
+    own window stays open and is never written. ``folder`` is an unused place for it.
+    """
+    spark = stream.sparkSession
+    end = F.to_timestamp(F.lit(CLOSING_TIME)).cast(stream.schema[event_time].dataType)
+    row = [(end if f.name == event_time else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder))
+
+
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:
-    """Drain what the source has now into ``path`` and return the written table."""
+    """Drain what the source has now into ``path`` and return the written table.
+
+    Windows that the watermark has not passed stay in the state; see :func:`with_closing_row`.
+    """
     query = start_table_sink(stream, path, f"{path}_checkpoint", available_now=True)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
