@@ -198,7 +198,7 @@ def test_predict_and_evaluate(spark):
 
 
 def test_linear_logits_large_vocabulary_shuffles(spark, monkeypatch):
-    monkeypatch.setattr("issuelens.operators.small.inline_if_small.__defaults__", (1,))
+    monkeypatch.setattr("issuelens.operators.small.inline_if_small.__defaults__", (1, 8 << 20))
     df = spark.createDataFrame([(1, "a a b"), (2, ""), (3, "z")], "id int, text string")
     weights = spark.createDataFrame([("a", 1, 0.5), ("b", 1, -2.0), ("b", 0, 1.0)], "token string, class int, weight double")
     rows = {r["id"]: r["logits"] for r in I.linear_logits(df, ["id"], "text", weights, [0.0, 0.25]).collect()}
