@@ -30,7 +30,7 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 20
 BLOCK = 1 << 20
-HOT = 256
+HOT = 32
 OPEN, GONE, SPLIT = 0, 1, 2
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
