@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Built-in functions only. A block is a line. Its tokens that occur in any template are kept
-in the global order of frequency, rarest first. A block and a template that share the
+Built-in functions only. A block is a line, or a run of words over line breaks that is no
+longer than a template's words over the threshold. Tokens that occur in any template are
+kept in the global order of frequency, rarest first. A block and a template that share the
 required number of tokens share one among the first few of the template, so only those
 are joined; length and position then bound the overlap that is still possible.
 """
@@ -89,11 +90,32 @@ def phrase_places(tokens: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), starts)
 
 
+def template_tokens(tokens: Column, order: list[str]) -> Column:
+    """Places, from 0, and tokens of the words of a text that occur in any template."""
+    placed = F.transform(tokens, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return F.filter(placed, lambda x: F.array_contains(_strings(order), x["word"]))
+
+
+def holds_all(tokens: list[str]):
+    return lambda line: F.size(F.array_intersect(line, _strings(tokens))) == len(tokens)
+
+
+def best_run(near: Column, tokens: Column, place: Column, reach: Column) -> Column:
+    """The most tokens of a template in a run of ``reach`` words that holds the word at ``place``."""
+    own = F.filter(near, lambda x: F.array_contains(tokens, x["word"]) & (F.abs(x["at"] - place) < reach))
+
+    def held(first):
+        run = F.filter(own, lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + reach))
+        return F.size(F.array_distinct(F.transform(run, lambda x: x["word"])))
+
+    return F.array_max(F.transform(F.filter(own, lambda x: x["at"] <= place), held))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 with a base phrase, else the largest containment of a template in a
-    line that reaches the threshold, else 0. Null and empty texts have no words, labels
+    line, or in a run of words over lines, that reaches the threshold, else 0. Null and empty texts have no words, labels
     '' and score 0. Rows with the same id are judged each on its own; an empty table
     gives an empty one; other columns are not read.
     """
@@ -112,21 +134,29 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
         hopeful = hopeful | F.contains(F.col("low"), F.lit(word))
     # One row per document from here on: counts, places and the few tokens of each line.
     lines = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(_strings(order), words(line)))
+    # Runs are looked at in texts that hold enough tokens of a template, yet in no single line all of them.
+    text = text.withColumn("lines", lines).withColumn("every", F.array_distinct(F.flatten("lines")))
+    split = F.lit(False)
+    for _, _, tokens, _, required in rows:
+        whole = F.size(F.array_intersect(F.col("every"), _strings(tokens)))
+        split = split | ((whole >= required) & ~F.exists("lines", holds_all(tokens)))
+    lines = F.col("lines")
     narrow = text.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.size("tokens").cast("long").alias("n_words"),
         F.when(hopeful, F.array(*places)).otherwise(none).alias("places"),
         F.filter(lines, lambda b: F.size(b) >= least).alias("blocks"),
+        F.when(split, template_tokens(F.col("tokens"), order)).alias("placed"),
     )
     narrow = materialize(narrow, "blocks")
 
     prefixes = [
-        (token, at, number, label, tokens, size, required)
+        (token, at, number, label, tokens, size, required, math.floor(len(templates[number][1].split()) / threshold + 1e-9))
         for number, label, tokens, size, required in rows
         for at, token in enumerate(tokens[: size - required + 1])
     ]
-    schema = "token string, at int, template int, label string, tokens array<string>, size int, required int"
+    schema = "token string, at int, template int, label string, tokens array<string>, size int, required int, reach int"
     prefix = F.broadcast(spark.createDataFrame(prefixes, schema))  # a fixed list, some rows a template
     blocks = narrow.select("row", F.posexplode("blocks").alias("line", "block"))
     pairs = blocks.select("row", "line", "block", F.posexplode("block").alias("place", "token")).join(prefix, "token")
@@ -136,10 +166,19 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
         .where(F.least(F.col("size") - F.col("at"), F.size("block") - F.col("place")) >= F.col("required"))
         .withColumn("shared", shared)
         .where("shared >= required")
+        .select("row", "label", "size", "shared")
+    )
+    runs = narrow.where(F.size("placed") >= least).select("row", "placed", F.posexplode("placed").alias("index", "x"))
+    runs = runs.join(prefix, F.col("x.word") == F.col("token"))
+    near = F.slice("placed", F.greatest(F.col("index") - F.col("reach") + 2, F.lit(1)), 2 * F.col("reach") - 1)
+    runs = runs.select("row", "label", "size", "required", "tokens", "reach", F.col("x.at").alias("place"), near.alias("near"))
+    runs = runs.withColumn("shared", best_run(F.col("near"), F.col("tokens"), F.col("place"), F.col("reach")))
+    found = (
+        found.unionByName(runs.where("shared >= required").select("row", "label", "size", "shared"))
         .groupBy("row")
         .agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("size")).alias("best"))
     )
-    joined = narrow.drop("blocks").join(found, "row", "left")
+    joined = narrow.drop("blocks", "placed").join(found, "row", "left")
     every = F.flatten("places")
     base = F.array_compact(F.array(*[F.when(F.size(F.get("places", F.lit(i))) > 0, label) for i, (label, _) in enumerate(phrases)]))
     more = F.coalesce("more", F.array().cast("array<string>"))
