@@ -45,7 +45,8 @@ CLASSES = {"l": "i", "g": "b"}
 
 PARTS = re.compile(r"[^\s,;:?()\[\]{}\"<>/\\=#&%]+")
 LETTER = r"(?:[^\W_]|[@$!|+])"
-SPACED = re.compile(rf"(?<!\S){LETTER}(?:[ \t]{LETTER}){{3,}}(?!\S)")
+# Before the first letter: a blank or a mark that ends a part, then marks; a word's apostrophe is none.
+SPACED = re.compile(rf"(?:(?<!\S)|(?<=[,;:?()\[\]{{}}\"<>/\\=#&%]))(?:(?![@$!|+])[^\w\s]|_)*({LETTER}(?:\s+{LETTER}){{2,}})(?![^\W_])")
 
 
 def symbol(char: str) -> int:
@@ -211,7 +212,7 @@ class Restorer:
 
     def spaced(self, letters: str) -> float:
         """Evidence of letters that were set apart: known words anywhere in the restored run."""
-        run = letters.replace(" ", "").replace("\t", "")
+        run = "".join(letters.split())
         shape = skeleton(run)
         if not any(shape[i : i + n] in self.skeletons for n in self.lengths for i in range(len(shape) - n + 1)):
             return 0.0
@@ -221,7 +222,7 @@ class Restorer:
         """Evidence of the known words in a run of letters, longest first from the left."""
         total, at = 0.0, 0
         while at < len(restored):
-            ends = [e for e in range(len(restored), at + 3, -1) if restored[at:e] in self.weights]
+            ends = [e for e in range(len(restored), at + 2, -1) if restored[at:e] in self.weights]
             total += self.weights[restored[at : ends[0]]] if ends else 0.0
             at = ends[0] if ends else at + 1
         return total
@@ -237,7 +238,7 @@ class Restorer:
                 found = cache[token] = self.token(token)
             total += found * n
         for match in SPACED.finditer(text.lower()):
-            total += self.spaced(match.group())
+            total += self.spaced(match.group(1))
         return total, len(tokens)
 
 
