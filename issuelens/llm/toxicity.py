@@ -44,6 +44,8 @@ SEPARATORS = set("._-*~^'`’​‌‍⁠﻿­")
 CLASSES = {"l": "i", "g": "b"}
 
 PARTS = re.compile(r"[^\s,;:?()\[\]{}\"<>/\\=#&%]+")
+PLAIN = re.compile(r"[^\W\d_]+")
+PIECES = re.compile("[^" + re.escape("".join(sorted(SEPARATORS))) + "]+")
 LETTER = r"(?:[^\W_]|[@$!|+])"
 # Before the first letter: a blank or a mark that ends a part, then marks; a word's apostrophe is none.
 SPACED = re.compile(rf"(?:(?<!\S)|(?<=[,;:?()\[\]{{}}\"<>/\\=#&%]))(?:(?![@$!|+])[^\w\s]|_)*({LETTER}(?:\s+{LETTER}){{2,}})(?![^\W_])")
@@ -196,20 +198,54 @@ class Restorer:
 
     def token(self, token: str) -> float:
         """Evidence of a token between blanks. Disguises are tried where one could fit."""
-        total = 0.0
-        for part in PARTS.findall(token):
-            plain = re.findall(r"[^\W\d_]+", part)
-            found = sum(self.word(w) for w in plain)
-            if not found:
-                shape = skeleton(part)
-                if any(shape[:n] in self.skeletons for n in self.lengths if n <= len(shape)):
-                    cores = {part, part.rstrip("!|+"), part.strip("!|+@$")}
-                    disguised = not part.isalpha() or not part.isascii() or re.search(r"(.)\1\1", part)
-                    most = None if disguised else 1  # ordinary words keep their likeliest reading
-                    found = max((self.word(w) for core in sorted(cores) for w in self.model.sources(core)[:most]), default=0.0)
-            total += found
+        return sum(self.part(part) for part in PARTS.findall(token))
+
+    def part(self, part: str) -> float:
+        """Known plain words count each; what is left is decoded from the start of every
+        piece between separators that could begin with a known word.
+        """
+        total, groups = 0.0, [[]]
+        for piece in PIECES.finditer(part):
+            at = piece.start()
+            for word in PLAIN.finditer(part, at, piece.end()):
+                if found := self.word(word.group()):
+                    total += found
+                    if at < word.start():
+                        groups[-1].append((at, word.start()))
+                    groups.append([])
+                    at = word.end()
+            if at < piece.end():
+                groups[-1].append((at, piece.end()))
+        for pieces in groups:
+            i = 0
+            while i < len(pieces):
+                found, used = self.disguised(part, pieces, i)
+                total += found
+                i += used
         return total
 
+    def disguised(self, part: str, pieces: list[tuple[int, int]], i: int) -> tuple[float, int]:
+        """Best evidence of a disguised word from piece ``i`` on, and how many pieces it takes."""
+        shape, ends = "", []
+        for j in range(i, len(pieces)):
+            before, shape = len(shape), skeleton(shape + part[pieces[j][0] : pieces[j][1]])
+            if any(before < n <= len(shape) and shape[:n] in self.skeletons for n in self.lengths):
+                ends += [j, j + 1]  # a beginning may go on in the next piece
+            if len(shape) >= max(self.lengths, default=0):
+                break
+        if ends and i == 0:
+            ends.append(len(pieces) - 1)
+        best, used = 0.0, 1
+        for j in sorted({j for j in ends if j < len(pieces)}):
+            span = part[pieces[i][0] : pieces[j][1]]
+            cores = {span, span.rstrip("!|+"), span.strip("!|+@$")}
+            hidden = not span.isalpha() or not span.isascii() or re.search(r"(.)\1\1", span)
+            most = None if hidden else 1  # ordinary words keep their likeliest reading
+            found = max((self.word(w) for core in sorted(cores) for w in self.model.sources(core)[:most]), default=0.0)
+            if found > best:
+                best, used = found, j - i + 1
+        return best, used
+
     def spaced(self, letters: str) -> float:
         """Evidence of letters that were set apart: known words anywhere in the restored run."""
         run = "".join(letters.split())

@@ -27,3 +27,18 @@ def restorer():
 )
 def test_spaced(restorer, text, want):
     assert restorer.text(text)[0] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("end.1d10t", 5), ("you-1d10t", 5), ("1d10t.end", 5), ("clown-1d10t", 8), ("1d10t-cl0wn", 8), ("clown!1d10t", 8), ("end.i.d.i.o.t", 5),
+        ("the-end_1d1ot*you", 5), ("the.end", 0), ("end-idea", 0), ("...", 0), ("i.d.i.o.t.", 5), ("idiot-idiot", 10), ("1d10t~1d10t", 10),
+    ],
+)
+def test_joined(restorer, text, want):
+    assert restorer.text(text)[0] == want
+
+
+def test_no_known_words():
+    assert Restorer({}, np.zeros(SYMBOLS**3)).text("end.1d10t i d i o t")[0] == 0
