@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,16 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most ``most`` bytes of text in ``column``; a longer text is alone."""
+    ends = strings(batch.column(column))[1]
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -9,6 +9,7 @@ from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from issuelens.llm.mixing import mix_documents
 from issuelens.llm.neighbours import nearest_neighbours
 from issuelens.llm.quality import score_quality
+from issuelens.llm.runs import run_digests
 from issuelens.llm.sharding import shard_documents
 from issuelens.llm.simhash import fingerprint_hex, near_duplicates
 from issuelens.llm.suffixes import remove_repeats
@@ -150,3 +151,8 @@ def pipeline(spark, sf_dir):
 @query("op10_quality")
 def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_runs")
+def op11_runs(spark, sf_dir):
+    return run_digests(table(spark, sf_dir, "documents"))
