@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from issuelens.llm.align import align_tokens
 from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
@@ -156,3 +157,8 @@ def op10_quality(spark, sf_dir):
 @query("op11_runs")
 def op11_runs(spark, sf_dir):
     return run_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"))
