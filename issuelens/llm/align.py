@@ -327,9 +327,9 @@ def aligned_blocks(docs: DataFrame, first: str, second: str, block_bytes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(_vocabularies(*sent.value), piece), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in text_slices(batch, 1):
-                data, _ = strings(piece.column(1))
-                block.add(piece.select([0]), piece.column(1).to_pylist(), len(data))
+            for part in text_slices(batch, 1):
+                data, _ = strings(part.column(1))
+                block.add(part.select([0]), part.column(1).to_pylist(), len(data))
                 if block.size >= block_bytes:
                     yield block.batch(number, names)
                     number += 1
