@@ -6,6 +6,7 @@ import corpus_pipeline
 from issuelens.llm.align import align_tokens
 from issuelens.llm.common import table
 from issuelens.llm.decontaminate import contamination
+from issuelens.llm.fingerprints import document_fingerprints
 from issuelens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from issuelens.llm.mixing import mix_documents
 from issuelens.llm.neighbours import nearest_neighbours
@@ -162,3 +163,8 @@ def op11_runs(spark, sf_dir):
 @query("op13_alignment")
 def op13_alignment(spark, sf_dir):
     return align_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(spark, sf_dir):
+    return document_fingerprints(table(spark, sf_dir, "documents"))
