@@ -28,10 +28,9 @@ SEED = 7
 COUNTERS = 1 << 18
 RADIUS = 3
 BLOCKS = 5
-RANGE_BYTES = 64 << 20
-MOST_RANGES = 1 << 14
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 1 << 16
 HOT_BUCKET = 1024
-VOTES = 1 << 14
 PENDING = 1 << 20
 
 
@@ -95,14 +94,16 @@ def _texts(column: pa.Array) -> list[bytes]:
 def fingerprints_of(texts: list[bytes], weights: np.ndarray, bits: int = BITS) -> np.ndarray:
     """``bits`` / 64 unsigned numbers a text: a bit is set if more than half the weight of its terms votes for it."""
     value, owner = terms(texts)
-    weight = weights[(value % np.uint64(len(weights))).astype(np.int64)]
-    votes = np.zeros((len(texts), bits), np.int64)
-    for start in range(0, len(value), VOTES):
-        part, own = value[start : start + VOTES], owner[start : start + VOTES]
-        words = np.stack([_mixed(part, 3 + k) for k in range(bits // 64)], 1)
-        signs = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int32)
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        votes[own[first]] += np.add.reduceat((2 * signs - 1) * weight[start : start + VOTES, None], first, axis=0)
+    weight = weights[(value % np.uint64(len(weights))).astype(np.int64)].astype(np.float64)
+    signs = 2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") - 1
+    votes = np.zeros((len(texts), bits))
+    for k in range(bits // 64):
+        octets = np.ascontiguousarray(_mixed(value, 3 + k)).view(np.uint8).reshape(-1, 8)
+        for at in range(8):
+            # The weight of each value of an octet a text; whole numbers, so sums are exact.
+            held = np.bincount(owner * 256 + octets[:, at], weight, 256 * len(texts)).reshape(-1, 256)
+            column = 64 * k + 8 * at
+            votes[:, column : column + 8] = held @ signs
     return np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64)
 
 

@@ -1,8 +1,8 @@
 """Mixing documents to target token weights per domain, by soft membership.
 
 A classifier fitted on labelled rows gives every document a posterior over domains. Rates
-r minimise the squared relative error of the expected domain totals sum(r t p) against
-the targets, with r between bounds, by projected gradient. A pass over the narrow table
+r >= 0 minimise the squared relative errors of the expected domain totals sum(r t p)
+against the targets, by projected gradient with momentum. A pass over the narrow table
 of tokens and posteriors gives the domain totals of a step; a rate follows from the
 posterior and the totals so far, so rates are never stored or moved between passes.
 """
@@ -20,10 +20,11 @@ from issuelens.llm.classify import Softmax, batch_features, fit_texts, labelled_
 from issuelens.llm.common import fresh, small_batches
 from issuelens.session import materialize
 
-STEPS = 40
+STEPS = 400
 TOLERANCE = 1e-3
+STILL = 1e-7
+SMALLEST_TARGET = 1e-4
 TEMPERATURE = 0.8
-HIGH = 8.0
 MEMBERS = "doc_id long, n_tokens long, posterior array<double>, draw double"
 
 
@@ -63,16 +64,27 @@ def draw(seed: int):
 
 
 class Rates:
-    """Document rates as a function of the posterior: the steps taken so far."""
+    """Document rates as a function of the posterior: the steps taken so far.
 
-    def __init__(self, low: float, high: float):
-        self.low, self.high, self.slopes = low, high, []
+    A step goes from the point ahead against the gradient, back into the bounds, and sets
+    the next point ahead by some momentum.
+    """
+
+    def __init__(self, low: float, high: float | None):
+        self.low, self.high, self.steps = low, np.inf if high is None else high, []
+
+    def after_steps(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rates, the point ahead, and how far the last step moved the rates."""
+        rate = ahead = np.full(len(p), min(max(1.0, self.low), self.high))
+        moved = np.zeros(len(p))
+        for slope, momentum in self.steps:
+            new = np.clip(ahead - p @ slope, self.low, self.high)
+            moved = new - rate
+            rate, ahead = new, new + momentum * moved
+        return rate, ahead, moved
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        rate = np.full(len(p), min(max(1.0, self.low), self.high))
-        for slope in self.slopes:
-            rate = np.clip(rate - p @ slope, self.low, self.high)
-        return rate
+        return self.after_steps(p)[0]
 
 
 def default_targets(shares: np.ndarray, temperature: float = TEMPERATURE) -> np.ndarray:
@@ -85,54 +97,70 @@ def default_targets(shares: np.ndarray, temperature: float = TEMPERATURE) -> np.
     return raised * np.max(shares[held] / raised[held]) if held.any() else shares
 
 
-def solve(members: DataFrame, targets=None, low: float = 0.0, high: float = HIGH) -> tuple[Rates, np.ndarray, np.ndarray]:
+def _pass(members: DataFrame, rates: Rates) -> np.ndarray | None:
+    """Sums over all documents: rows of domain totals by rate, by the point ahead, by one,
+    the movement, and the products of posteriors. One row of numbers a task leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                t = batch.column(0).to_numpy()
+                rate, ahead, moved = rates.after_steps(p)
+                own = np.vstack([(rate * t) @ p, (ahead * t) @ p, t @ p, (np.abs(moved) * t) @ p, (p * t[:, None]).T @ p])
+                total = own if total is None else total + own
+        if total is not None:
+            at = np.arange(total.size)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], names=["at", "value"])
+
+    found = members.select("n_tokens", "posterior").mapInArrow(run, "at long, value double")
+    found = found.groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()  # (4 + domains) x domains numbers
+    if not found:
+        return None
+    domains = round(np.sqrt(4 + len(found)) - 2)
+    return np.array([r["value"] for r in found]).reshape(-1, domains)
+
+
+def solve(members: DataFrame, targets=None, low: float = 0.0, high: float | None = None, steps: int = STEPS) -> tuple[Rates, np.ndarray, np.ndarray]:
     """Rates, targets and the totals reached, both as parts of all tokens.
 
-    ``targets`` None: :func:`default_targets`. Each pass returns one row of totals a
-    task, summed before it leaves the task; the driver sees numbers per domain only.
+    ``targets`` None: :func:`default_targets`. Ends when every total is within
+    ``TOLERANCE`` of its target, or when steps no longer move the rates: bounds or
+    posteriors then do not allow more, which the totals tell. Raises RuntimeError if
+    neither is so after ``steps`` passes. Errors are relative to the target, or to
+    ``SMALLEST_TARGET`` if that is smaller.
     """
-
-    def totals(rates: Rates) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if batch.num_rows:
-                    p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    t = batch.column(0).to_numpy()
-                    own = np.vstack([(rates.of(p) * t) @ p, t @ p])
-                    total = own if total is None else total + own
-            if total is not None:
-                at = np.arange(total.shape[1])
-                arrays = [pa.array(at), pa.array(total[0]), pa.array(total[1])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["d", "rated", "plain"])
-
-        rows = members.select("n_tokens", "posterior").mapInArrow(run, "d long, rated double, plain double")
-        found = rows.groupBy("d").agg(F.sum("rated"), F.sum("plain")).orderBy("d").collect()
-        return np.array([[r[1], r[2]] for r in found]).reshape(-1, 2).T
-
     rates = Rates(low, high)
-    now = totals(rates)
-    if now.size == 0 or now[1].sum() == 0:
+    now = _pass(members, rates)
+    if now is None or now[2].sum() == 0:
         return rates, np.zeros(0), np.zeros(0)
-    every = now[1].sum()
-    shares = now[1] / every
-    targets = default_targets(shares) if targets is None else np.asarray(targets, float)
-    floor = np.maximum(targets, 1e-9)
-    length = 1.0 / max(float(np.max(shares / floor)), 1e-9)
-    for _ in range(STEPS):
-        error = (now[0] / every - targets) / floor
-        if np.max(np.abs(error)) < TOLERANCE:
-            break
-        rates.slopes.append(length * error)
-        now = totals(rates)
-    return rates, targets, now[0] / every
+    every = now[2].sum()
+    targets = default_targets(now[2] / every) if targets is None else np.asarray(targets, float)
+    floor = np.maximum(targets, SMALLEST_TARGET)
+    curved = now[4:] / every / np.outer(floor, floor)
+    length = 1 / max(np.linalg.eigvalsh(curved)[-1], 1e-12)
+    weight, least = 1.0, np.inf
+    for _ in range(steps + 1):
+        reached = now[0] / every
+        error = (reached - targets) / floor
+        if np.max(np.abs(error)) < TOLERANCE or (rates.steps and now[3].sum() / every < STILL * max(1.0, reached.sum())):
+            return rates, targets, reached
+        if error @ error > least:
+            weight = 1.0  # momentum went too far
+        least = error @ error
+        following = (1 + np.sqrt(1 + 4 * weight**2)) / 2
+        rates.steps.append((length * (now[1] / every - targets) / floor**2, (weight - 1) / following))
+        weight = following
+        now = _pass(members, rates)
+    raise RuntimeError(f"rates still move after {steps} steps: targets {targets.tolist()}, reached {reached.tolist()}")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> Softmax | None:
     return fit_texts(labelled_sample(docs, labels, domain_value()))
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets=None, low: float = 0.0, seed: int = 0) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets=None, low: float = 0.0, high: float | None = None, seed: int = 0) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), rate and copies of every row.
 
     ``copies`` is the rate rounded up or down at random by a hash of id and text, so its
@@ -142,7 +170,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets=None, low: float =
     """
     model = fit_domains(docs, labels)
     members = memberships(docs, model, seed)
-    rates, _, _ = solve(members, targets, low)
+    rates, _, _ = solve(members, targets, low, high)
     names = ["all"] if model is None else model.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +185,25 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets=None, low: float =
     return members.mapInArrow(run, "doc_id long, n_tokens long, domain string, rate double, copies int")
 
 
-def repeat_documents(docs: DataFrame, labels: DataFrame, targets=None, low: float = 1.0, seed: int = 0) -> DataFrame:
+def mixing_report(docs: DataFrame, labels: DataFrame, targets=None, low: float = 0.0, high: float | None = None) -> DataFrame:
+    """domain, share, target and reached, each as parts of all tokens: what the rates come to."""
+    model = fit_domains(docs, labels)
+    members = memberships(docs, model)
+    _, targets, reached = solve(members, targets, low, high)
+    names = ["all"] if model is None else list(model.names)
+    plain = _pass(members, Rates(1.0, 1.0))
+    shares = plain[0] / plain[2].sum() if len(reached) else []
+    rows = [(n, float(s), float(t), float(r)) for n, s, t, r in zip(names, shares, targets, reached)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, share double, target double, reached double")
+
+
+def repeat_documents(docs: DataFrame, labels: DataFrame, targets=None, low: float = 1.0, high: float | None = None, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as its number of copies says; columns unchanged.
 
     With ``low`` = 1 no document is lost and scarce domains are repeated.
     """
     model = fit_domains(docs, labels)
-    rates, _, _ = solve(memberships(docs, model, seed), targets, low)
+    rates, _, _ = solve(memberships(docs, model, seed), targets, low, high)
     text = docs.columns.index("text")
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model, rates))
