@@ -72,11 +72,12 @@ def stream_dedup(spark, folder):
     # Well after the epoch, where watermarks start and earlier rows would count as late.
     arrival = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     stream = stream_table(spark, folder, "documents").select("doc_id", "text", arrival.alias("created_at"))
-    return written(J.dedup_stream(stream, "created_at", "36500 days"), "stream-dedup").select("text_hash")
+    with J.durable_state(spark):
+        return written(J.dedup_stream(stream, "created_at", "365 days"), "stream-dedup").select("text_hash")
 
 
-def closed(stream):
-    return J.with_closing_row(stream, "ts", scratch_path(stream.sparkSession, "closing"))
+def closed(stream, **values):
+    return J.with_closing_row(stream, "ts", scratch_path(stream.sparkSession, "closing"), values)
 
 
 @query(
@@ -139,16 +140,17 @@ LATE = f"""predicted AS (SELECT event_id, ts, CASE WHEN value > 10 THEN 1 ELSE 0
 
 @query(f"WITH {LATE} SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, {SCORES_SQL} FROM counts")
 def stream_late_labels(spark, folder):
-    """Join predictions with labels that come later, then metrics per day."""
-    events = stream_table(spark, folder, "events")
+    """Join predictions with labels that come later; days and their metrics come from the stream."""
+    events = closed(stream_table(spark, folder, "events"), event_id=-1)
     guesses = events.select("event_id", "ts", (F.col("value") > 10).cast("int").alias("predicted_class"))
-    later = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 240).cast("int"))
-    truth = stream_table(spark, folder, "events").select(
+    later = F.col("ts") + F.make_dt_interval(hours=F.coalesce(F.col("event_id") % 240, F.lit(0)).cast("int"))
+    truth = closed(stream_table(spark, folder, "events"), event_id=-2).select(
         "event_id", (F.col("event_type") == "error").cast("int").alias("label"), later.alias("labelled_at")
     )
-    joined = J.join_late_labels(guesses, truth, "event_id", "ts", "labelled_at", "7 days", "1 hour")
-    pairs = written(joined.select("ts", "label", "predicted_class"), "stream-labels")
-    scores = J.rolling_quality(J.rolling_counts(pairs, "ts")).drop("confusion_matrix")
+    joined = J.join_late_labels(guesses, truth, "event_id", "ts", "labelled_at", "7 days", "1 hour", "2 hours")
+    path = scratch_path(spark, "stream-quality")
+    J.start_quality_sink(joined, "ts", path, f"{path}_checkpoint", available_now=True).awaitTermination()
+    scores = spark.read.parquet(path).drop("batch_id", "confusion_matrix")
     return stamped(rounded(scores, *SCORES), "window_start")
 
 

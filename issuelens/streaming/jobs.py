@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from issuelens.functions.text import text_hash, with_clean_text
 from issuelens.operators.metrics import binary_scores
 from issuelens.operators.relational import density_measures, keep_min_length
+from issuelens.sources.sinks import write_batch
 
 CLOSING_TIME = "9000-01-01 00:00:00"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def clean_stream(stream: DataFrame, body: str = "body", min_length: int = 20) -> DataFrame:
@@ -21,23 +27,32 @@ def clean_stream(stream: DataFrame, body: str = "body", min_length: int = 20) ->
     return keep_min_length(cleaned, "text", min_length)
 
 
-def dedup_stream(
-    stream: DataFrame, event_time: str, delay: str, text: str = "text", spread: int = 32
-) -> DataFrame:
-    """Drop repeats of a text that arrive within ``delay``.
-
-    Repeats are first dropped within ``spread`` slices of each text, by a digest of the
-    whole row, so a text that is most of the stream is not one task's work; the second
-    step sees at most ``spread`` rows of it per watermark span.
+@contextmanager
+def durable_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, outside the heap, and write only
+    its changes to the checkpoint. The session's own settings come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def dedup_stream(stream: DataFrame, event_time: str, delay: str, text: str = "text") -> DataFrame:
+    """Drop repeats of a text that arrive within ``delay``, some days as a rule.
+
+    One operator on the text's digest; a digest leaves the state once the watermark is
+    ``delay`` past its first row, so the state follows the rate of new texts and not the
+    age of the stream. Start it under :func:`durable_state`.
     """
-    slice_no = F.pmod(F.xxhash64(*stream.columns), F.lit(spread))
-    return (
-        stream.withColumns({"text_hash": text_hash(F.col(text)), "__slice": slice_no})
-        .withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark(["text_hash", "__slice"])
-        .dropDuplicatesWithinWatermark(["text_hash"])
-        .drop("__slice")
-    )
+    hashed = stream.withColumn("text_hash", text_hash(F.col(text)))
+    return hashed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["text_hash"])
 
 
 def _density(stream: DataFrame, span: Column, dims: Sequence[str], predicted: str) -> DataFrame:
@@ -105,10 +120,15 @@ def join_late_labels(
     labelled_at: str,
     max_wait: str = "7 days",
     delay: str = "1 hour",
+    label_delay: str | None = None,
 ) -> DataFrame:
-    """Predictions with the labels that arrive up to ``max_wait`` later."""
+    """Predictions with the labels that arrive up to ``max_wait`` later.
+
+    Either stream has a watermark of its own; both bound the state of the join, and what
+    follows the join sees rows no older than ``max_wait`` before the slower one.
+    """
     left = predictions.withWatermark(predicted_at, delay).alias("p")
-    right = labels.withWatermark(labelled_at, delay).alias("l")
+    right = labels.withWatermark(labelled_at, label_delay or delay).alias("l")
     in_time = F.expr(
         f"l.{key} = p.{key} AND l.{labelled_at} >= p.{predicted_at} "
         f"AND l.{labelled_at} <= p.{predicted_at} + INTERVAL {max_wait}"
@@ -137,6 +157,22 @@ def rolling_quality(counts: DataFrame) -> DataFrame:
     return binary_scores(counts)
 
 
+def start_quality_sink(joined: DataFrame, event_time: str, path: str, checkpoint: str, width: str = "1 day", available_now: bool = False) -> StreamingQuery:
+    """Metrics per window of a stream of labelled predictions, into a table.
+
+    The windows are counted by the query itself, after the join of ``joined``: a window
+    is emitted once, when neither stream can bring rows of it any more. A batch's metrics
+    are a partition of their own, so a batch that runs again replaces what it wrote.
+    """
+    counts = rolling_counts(joined, event_time, width)
+
+    def report(batch: DataFrame, batch_id: int) -> None:
+        write_batch(rolling_quality(batch), path, batch_id)
+
+    with durable_state(joined.sparkSession):
+        return start_batch_sink(counts, report, checkpoint, "append", available_now)
+
+
 def start_table_sink(
     stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, interval: str = "1 minute"
 ) -> StreamingQuery:
@@ -158,15 +194,18 @@ def start_batch_sink(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def with_closing_row(stream: DataFrame, event_time: str, folder: str) -> DataFrame:
+def with_closing_row(stream: DataFrame, event_time: str, folder: str, values: Mapping | None = None) -> DataFrame:
     """A bounded stream followed by one row far in the future, for drains that must be complete.
 
     The row moves the watermark past all windows of the stream, so they are emitted; its
     own window stays open and is never written. ``folder`` is an unused place for it.
+    Other columns are null unless ``values`` has them: a key that is joined on needs one
+    that no row has, since rows without a key are dropped before the watermark sees them.
     """
     spark = stream.sparkSession
+    values = values or {}
     end = F.to_timestamp(F.lit(CLOSING_TIME)).cast(stream.schema[event_time].dataType)
-    row = [(end if f.name == event_time else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema]
+    row = [(end if f.name == event_time else F.lit(values.get(f.name)).cast(f.dataType)).alias(f.name) for f in stream.schema]
     spark.range(1).select(*row).write.parquet(folder)
     return stream.unionByName(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder))
 

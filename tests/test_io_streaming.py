@@ -1,6 +1,7 @@
 """Readers, writers and streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import Observation
@@ -150,3 +151,51 @@ def test_stream_clean_equals_batch(spark, sf_dir, tmp_path):
     got = J.run_to_table(J.clean_stream(stream).select("doc_id", "text"), scratch_path(spark, "clean"))
     want = J.clean_stream(docs).select("doc_id", "text")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_dedup_state_stays_flat(spark, tmp_path):
+    """A digest leaves the state when the watermark is past it, however long the stream."""
+    days = [[(100 * day + i, f"2024-01-{day:02d}T0{i}:00:00Z", "r", f"text {i % 4} of day {day // 2}") for i in range(8)] for day in range(1, 25)]
+    path = scratch_path(spark, "flat")
+    with J.durable_state(spark):
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+        stream = J.dedup_stream(events(spark, tmp_path, "flat", days), "ts", "2 days")
+        query = J.start_table_sink(stream, path, f"{path}_checkpoint", available_now=True)
+        query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert len(query.recentProgress[0].stateOperators) == 1
+    assert max(held) <= 12 and max(held[-5:]) <= max(held[:10])
+    texts = [r["text"] for r in spark.read.parquet(path).collect()]
+    assert len(texts) == len(set(texts)) == 4 * 13
+    changes = [f for _, _, files in os.walk(f"{path}_checkpoint/state") for f in files]
+    assert any(f.endswith(".changelog") for f in changes)
+
+
+LABELS = "id long, at string, label int"
+
+
+def test_quality_of_late_labels_window_by_window(spark, tmp_path):
+    """Windows come from the running query, once neither stream can bring rows of them."""
+    guesses = [[(h, at(60 * h), "r", "t") for h in range(d * 24, d * 24 + 24)] for d in range(2)]
+    guesses = [[(i, f"2024-01-{1 + i // 24:02d}T{i % 24:02d}:00:00Z", r, t) for i, _, r, t in day] for day in [*guesses, [(h, 0, "r", "t") for h in range(240, 264)]]]
+    labels = [[(i, f"2024-01-{2 + i // 24:02d}T{i % 24:02d}:30:00Z", i % 3 % 2) for i, *_ in day] for day in guesses]
+    stream = events(spark, tmp_path, "guesses", guesses).select("id", "ts", "predicted_class")
+    truth = feed(spark, tmp_path, "labels", labels, LABELS).select("id", F.to_timestamp("at").alias("labelled_at"), "label")
+    joined = J.join_late_labels(stream, truth, "id", "ts", "labelled_at", "3 days", "1 hour", "2 hours")
+    path = scratch_path(spark, "quality")
+    query = J.start_quality_sink(joined, "ts", path, f"{path}_checkpoint", available_now=True)
+    query.awaitTermination()
+    assert [o.operatorName for o in query.recentProgress[0].stateOperators] == ["stateStoreSave", "symmetricHashJoin"]
+    got = {r["window_start"].day: r for r in spark.read.parquet(path).collect()}
+    assert sorted(got) == [1, 2]  # the last day may still get labels
+    for day in (1, 2):
+        ids = range(24 * (day - 1), 24 * day)
+        hits = sum(i % 2 == i % 3 % 2 for i in ids)
+        assert got[day]["accuracy"] == pytest.approx(hits / 24)
+    before = spark.read.parquet(path).count()
+    again = spark.read.parquet(path).filter(F.col("batch_id") == spark.read.parquet(path).agg(F.max("batch_id")).first()[0])
+    from issuelens.sources.sinks import write_batch
+
+    rows = spark.createDataFrame(again.drop("batch_id").collect(), again.drop("batch_id").schema)
+    write_batch(rows, path, again.first()["batch_id"])
+    assert spark.read.parquet(path).count() == before
