@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens.functions.text import text_hash, word_count
+from issuelens.operators.small import inline_if_small
+from issuelens.session import materialize
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"Column {missing} not found. Available: {df.columns}")
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
     return df
 
 
@@ -43,18 +45,43 @@ def keep_min_words(df: DataFrame, text: str = "text", min_words: int = 45) -> Da
     return df.filter(word_count(F.col(text)) >= min_words)
 
 
-def keep_first_by_text(df: DataFrame, text: str, order_cols: Sequence[str]) -> DataFrame:
-    """One row per distinct text, the one with the smallest ``order_cols``.
+def repeated_texts(df: DataFrame, digest: Column, order_cols: Sequence[str]) -> DataFrame:
+    """Digest, smallest key and whether two rows have it, of every text that occurs again.
 
-    Copies of one text collapse to a single row in each map task, so a text that
-    makes up much of the table never meets in one reducer. The shuffle key is the
-    text's digest.
+    Only digests and keys move; texts stay in the scan.
     """
-    return (
-        df.groupBy(text_hash(F.col(text)).alias("__digest"))
-        .agg(F.min_by(F.struct(*df.columns), F.struct(*order_cols)).alias("__row"))
-        .select("__row.*")
+    key = F.col(f"`{order_cols[0]}`") if len(order_cols) == 1 else F.struct(*order_cols)
+    rows = df.select(digest.alias("__text"), key.alias("__key")).groupBy("__text", "__key").agg(F.count(F.lit(1)).alias("__n"))
+    groups = rows.groupBy("__text").agg(
+        F.min("__key").alias("__first"), F.sum("__n").alias("__rows"), F.max("__n").alias("__equal")
     )
+    return groups.where("__rows > 1").select("__text", "__first", (F.col("__equal") > 1).alias("__tied"))
+
+
+def keep_first_by_text(
+    df: DataFrame, text: str, order_cols: Sequence[str], digest: str | None = None
+) -> DataFrame:
+    """One row per distinct text, the one with the smallest ``order_cols``; null keys come last.
+
+    In two phases: the texts that occur again are found on digests and keys alone, then
+    rows that are not the first of theirs leave in the scan, by a join with a side of
+    checked size. So no text is shuffled or sorted, and copies of a hot text merge in the
+    map tasks. If more texts repeat than may be sent to every task, the join shuffles the
+    rows by digest, once. Rows that share a text and a key keep one of them.
+
+    ``df`` is evaluated twice: write an expensive one first, with its ``digest`` column.
+    """
+    own = F.col(f"`{digest}`") if digest else text_hash(F.col(f"`{text}`"))
+    groups = materialize(repeated_texts(df, own, order_cols), "repeated")
+    tied = not groups.where("__tied").isEmpty()
+    key = F.col(f"`{order_cols[0]}`") if len(order_cols) == 1 else F.struct(*order_cols)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    joined = df.select(*columns, own.alias("__text"), key.alias("__key")).join(inline_if_small(groups), "__text", "left")
+    kept = joined.where(F.col("__tied").isNull() | F.col("__key").eqNullSafe(F.col("__first")))
+    if not tied:
+        return kept.select(*columns)
+    again = kept.where("__tied").groupBy("__text").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
+    return kept.where("__tied IS NULL OR NOT __tied").select(*columns).unionByName(again)
 
 
 def project_text(df: DataFrame, text: str = "text", keep: Sequence[str] = ("number", "title")):

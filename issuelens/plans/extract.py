@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from issuelens.functions.text import with_clean_text
+from issuelens.functions.text import text_hash, with_clean_text
 from issuelens.operators.relational import (
     drop_null_rows,
     keep_first_by_text,
@@ -15,6 +15,9 @@ from issuelens.operators.relational import (
     project_text,
     require_columns,
 )
+from issuelens.session import materialize
+
+DIGEST = "__digest"
 
 
 def extract_texts(
@@ -28,8 +31,8 @@ def extract_texts(
 ) -> DataFrame:
     """Null filter, cleaning, length filter, de-duplication and projection.
 
-    Only needed columns are read, and one shuffle (on the text digest) does the
-    de-duplication. ``counters`` may hold observations named ``read``, ``cleaned`` and
+    Only needed columns are read. For the de-duplication the cleaned texts are written once
+    with their digests, so cleaning runs once and no text is shuffled. ``counters`` may hold observations named ``read``, ``cleaned`` and
     ``kept``; they count rows while the job runs, without a job of their own.
     Observe in a session that trains no models afterwards (``newSession()``): Spark keeps
     a manager there that ML closures fail to serialize.
@@ -41,7 +44,9 @@ def extract_texts(
     cleaned = cleaned.drop(*[c for c in (body,) if c != "text"])
     long_enough = _observe(keep_min_length(cleaned, "text", min_length), "cleaned", counters)
     if drop_duplicates:
-        long_enough = _observe(keep_first_by_text(long_enough, "text", key_cols), "kept", counters)
+        written = materialize(long_enough.withColumn(DIGEST, text_hash(F.col("text"))), "cleaned")
+        long_enough = keep_first_by_text(written, "text", key_cols, DIGEST).drop(DIGEST)
+        long_enough = _observe(long_enough, "kept", counters)
     return project_text(long_enough, "text", keep)
 
 

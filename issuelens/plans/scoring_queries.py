@@ -94,7 +94,8 @@ def clean_score_evaluate(spark, folder):
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
     labelled = R.drop_null_rows(documents, "body").join(labels, "doc_id")
     cleaned = with_clean_text(labelled, "body", "text").drop("body")
-    kept = R.keep_first_by_text(R.keep_min_length(cleaned, "text", 20), "text", ["doc_id"])
+    cleaned = R.keep_min_length(cleaned, "text", 20).withColumn("digest", text_hash(F.col("text")))
+    kept = R.keep_first_by_text(materialize(cleaned, "cleaned"), "text", ["doc_id"], "digest").drop("digest")
     weights = token_weights(spark, folder)
     scored = I.predict_logits(I.linear_logits(kept, ["doc_id", "label"], "text", weights, BIAS))
     scores = M.binary_scores(M.confusion_counts(scored))

@@ -193,7 +193,7 @@ def test_predict_and_evaluate(spark):
     assert predicted.columns == ["text", "label", "class_probabilities", "predicted_class", "predicted_probability"]
     assert metrics.first()["accuracy"] == 1.0
     assert predict_and_evaluate(df.drop("label"), score)[1] is None
-    with pytest.raises(ValueError, match="Available"):
+    with pytest.raises(ValueError, match="no column"):
         predict_table(df, score, "missing")
 
 
@@ -239,12 +239,34 @@ def test_early_stopping(spark):
     assert TR.early_stopping(df, patience=5).first()["stop_epoch"] is None
 
 
-def test_hot_text_collapses_before_the_shuffle(spark):
+def executed(df):
+    """The plan as it ran."""
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_text_is_shuffled_to_find_copies(spark, tmp_path):
     df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "copy").otherwise(F.col("id").cast("string")).alias("text"))
-    kept = R.keep_first_by_text(df, "text", ["id"])
+    df.write.parquet(str(tmp_path / "texts"))
+    kept = R.keep_first_by_text(spark.read.parquet(str(tmp_path / "texts")), "text", ["id"])
     assert kept.count() == 6001 and kept.filter("text = 'copy'").first()["id"] == 0
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("partial_min_by") >= 1 and plan.count("Exchange hashpartitioning") == 1
+    plan = executed(kept)
+    assert "hashpartitioning" not in plan and "SortAggregate" not in plan and "BroadcastHashJoin" in plan
+    groups = R.repeated_texts(df, F.sha2("text", 256), ["id"])
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "partial_count" in plan
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_first_of_copies(spark, monkeypatch, limit):
+    monkeypatch.setattr("issuelens.operators.small.inline_if_small.__defaults__", (limit, 8 << 20))
+    rows = [(3, "b", "x"), (1, "b", "x"), (1, "a", "x"), (None, "a", "x"), (7, "c", "y"), (7, "c", "y"), (9, "c", "y"), (None, "z", None), (None, "z", "only")]
+    df = spark.createDataFrame(rows, "id long, part string, text string")
+    got = sorted(tuple(r) for r in R.keep_first_by_text(df.where("text IS NOT NULL"), "text", ["part", "id"]).collect() if r["id"])
+    assert got == [(7, "c", "y")]
+    got = R.keep_first_by_text(df.where("text IS NOT NULL AND id IS NOT NULL"), "text", ["id", "part"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a", "x"), (7, "c", "y")]
+    assert R.keep_first_by_text(df.limit(0), "text", ["id"]).count() == 0
 
 
 def test_shuffle_partitions_do_not_matter(spark, sf_dir):
