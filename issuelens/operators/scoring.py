@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.functions import arrays
 from issuelens.functions.text import null_to_empty, tokens
-from issuelens.operators.small import inline_if_small
+from issuelens.operators.small import INLINE_BYTES, INLINE_ROWS, small_rows
 
 # The debt categories models exist for, as (code, category).
 CATEGORIES = [
@@ -63,6 +64,24 @@ MODEL_GROUPS = {
 }
 
 Scorer = Callable[[list], list]
+SLOTS = 1 << 14
+
+
+def weight_table(weights: DataFrame, n_classes: int, max_rows: int, max_bytes: int) -> Column | None:
+    """A constant array of hash slots, each with the (token, weights) that fall there; None if they are too many.
+
+    ``weights`` has a row a token and a column ``__w<class>`` a class.
+    """
+    slot = F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int")
+    rows = small_rows(weights.where("token IS NOT NULL").select(slot, "token", *[f"__w{c}" for c in range(n_classes)]), max_rows, max_bytes)
+    if rows is None:
+        return None
+    slots: list = [None] * SLOTS
+    for at, token, *own in rows:
+        slots[at] = [*(slots[at] or []), {"t": token, "w": [w or 0.0 for w in own]}]
+    schema = "array<array<struct<t:string,w:array<double>>>>"
+    # One constant, read once while the query is planned.
+    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), schema)
 
 
 def linear_logits(
@@ -72,25 +91,36 @@ def linear_logits(
     weights: DataFrame,
     bias: Sequence[float],
     max_tokens: int | None = None,
+    max_rows: int = INLINE_ROWS,
+    max_bytes: int = INLINE_BYTES,
 ) -> DataFrame:
     """Bag-of-words logits: per class, bias plus the weights of the text's tokens.
 
-    ``weights`` is (token, class, weight); ``key_cols`` are repeated per token, so keep
-    them narrow and join wide columns back by key. Where the weights are small enough to
-    be sent to all tasks, token rows stay in theirs and the shuffle carries one narrow row
-    per text; else tokens are shuffled to their weights. Rows that share a key are scored
-    each on its own.
+    ``weights`` is (token, class, weight). Up to ``max_rows`` tokens and ``max_bytes`` the
+    weights become a constant hash table, in which every row looks its tokens up: nothing
+    is exploded or shuffled, and a stream can be scored without state. Beyond that, tokens
+    are shuffled to their weights; ``key_cols`` are repeated per token there, so keep them
+    narrow. Rows that share a key are scored each on its own.
     """
     classes = range(len(bias))
-    table = inline_if_small(
-        weights.groupBy("token").agg(
-            *[F.sum(F.when(F.col("class") == c, F.col("weight"))).alias(f"__w{c}") for c in classes]
-        )
+    pivoted = weights.groupBy("token").agg(
+        *[F.sum(F.when(F.col("class") == c, F.col("weight"))).alias(f"__w{c}") for c in classes]
     )
+    table = weight_table(pivoted, len(bias), max_rows, max_bytes)
+    if table is not None:
+        def slot(token: Column) -> Column:
+            return F.get(table, F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int"))
+
+        # Most tokens fall into an empty slot and are dropped at once.
+        known = F.filter(tokens(F.col(text), max_tokens), lambda t: slot(t).isNotNull())
+        hits = F.flatten(F.transform(known, lambda t: F.filter(slot(t), lambda e: e["t"] == t)))
+        start = F.array(*[F.lit(float(b)) for b in bias])
+        logits = F.aggregate("__hits", start, lambda held, e: F.zip_with(held, e["w"], lambda x, y: x + y))
+        return df.select(*key_cols, hits.alias("__hits")).select(*key_cols, logits.alias("logits"))
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     exploded = numbered.select(*key_cols, "__row", F.explode_outer(tokens(F.col(text), max_tokens)).alias("token"))
     logits = [F.coalesce(F.sum(f"__w{c}"), F.lit(0.0)) + F.lit(float(bias[c])) for c in classes]
-    summed = exploded.join(table, "token", "left").groupBy(*key_cols, "__row").agg(F.array(*logits).alias("logits"))
+    summed = exploded.join(pivoted, "token", "left").groupBy(*key_cols, "__row").agg(F.array(*logits).alias("logits"))
     return summed.drop("__row")
 
 
@@ -171,7 +201,7 @@ def predict_logits(df: DataFrame, logits: str = "logits") -> DataFrame:
 def predict_single(spark: SparkSession, text: str, score: Callable[[DataFrame], DataFrame]) -> dict:
     """Run a table scorer on one text."""
     if not text:
-        raise ValueError("Input text is empty")
+        raise ValueError("there is no text to score")
     return score(spark.createDataFrame([(0, text)], "id long, text string")).first().asDict()
 
 
@@ -183,11 +213,11 @@ def mark_empty_text(df: DataFrame, text: str = "text", target: str = "error") ->
 def normalized_weights(members: Sequence[str], weights: Sequence[float] | None = None) -> dict[str, float]:
     """Member weights that sum to one, equal by default."""
     if not members:
-        raise ValueError("At least one model must be provided")
+        raise ValueError("an ensemble needs a member")
     weights = [1.0] * len(members) if weights is None else weights
     if len(weights) != len(members):
         raise ValueError(
-            f"Number of weights ({len(weights)}) must match number of models ({len(members)})"
+            f"{len(weights)} weights for {len(members)} members"
         )
     total = float(sum(weights))
     return {m: w / total for m, w in zip(members, weights)}

@@ -12,21 +12,28 @@ INLINE_BYTES = 8 << 20
 FIRST_LOOK = 64
 
 
-def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> DataFrame:
-    """``df`` as a broadcast local table if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
+def small_rows(df: DataFrame, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> list | None:
+    """The rows of ``df`` if there are at most ``max_rows`` of at most ``max_bytes`` bytes, else None.
 
     A few rows are fetched first; more only if rows of their size would stay within the
-    limit. A larger side comes back as it was, without a hint, so the join shuffles and
-    adaptive execution splits any skewed partition.
+    limit.
     """
     look = min(FIRST_LOOK, max_rows + 1)
     rows = df.take(look)
     if len(rows) == look:
         each = len(pickle.dumps(rows)) / len(rows)
         if each * look > max_bytes:
-            return df
+            return None
         max_rows = min(max_rows, int(max_bytes / each) + look)
         rows = df.take(max_rows + 1)
-    if len(rows) > max_rows or len(pickle.dumps(rows)) > max_bytes:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return None if len(rows) > max_rows or len(pickle.dumps(rows)) > max_bytes else rows
+
+
+def inline_if_small(df: DataFrame, max_rows: int = INLINE_ROWS, max_bytes: int = INLINE_BYTES) -> DataFrame:
+    """``df`` as a broadcast local table if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    A larger side comes back as it was, without a hint, so the join shuffles and
+    adaptive execution splits any skewed partition.
+    """
+    rows = small_rows(df, max_rows, max_bytes)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

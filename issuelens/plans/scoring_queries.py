@@ -58,6 +58,14 @@ def linear_score(spark, folder):
     return logits.select("doc_id", F.get("logits", F.lit(1)).alias("z"))
 
 
+@query(f"WITH {linear_sql('documents', 'doc_id', 'text')} SELECT doc_id, z FROM probs")
+def linear_score_large_vocabulary(spark, folder):
+    """The same scores with the weights as a table of any size."""
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    logits = I.linear_logits(documents, ["doc_id"], "text", token_weights(spark, folder), BIAS, max_rows=0)
+    return logits.select("doc_id", F.get("logits", F.lit(1)).alias("z"))
+
+
 @query(
     f"""WITH {linear_sql('documents', 'doc_id', 'text')}
     SELECT doc_id, predicted_class, round(greatest(p0, p1), 6) AS predicted_probability, round(p1, 6) AS p1 FROM probs"""

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from issuelens.functions.text import text_hash
 from issuelens.operators import metrics as M
 from issuelens.operators import scoring as I
-from issuelens.operators.small import inline_if_small
 from issuelens.plans.io_queries import FLAT, raw_issues
 from issuelens.plans.metric_queries import SCORES, SCORES_SQL, counts_sql, rounded
 from issuelens.plans.registry import query, r6, table
@@ -19,7 +18,6 @@ from issuelens.plans.scoring_queries import BIAS, linear_sql, token_weights
 from issuelens.plans.text_queries import EVENTS_AS_DEBT, sql_clean
 from issuelens.session import scratch_path
 from issuelens.sources import issues as G
-from issuelens.sources.sinks import write_batch
 from issuelens.streaming import jobs as J
 
 
@@ -49,22 +47,13 @@ def stamped(frame, *names):
     SELECT doc_id, length(text) AS clean_chars, predicted_class, round(p1, 6) AS p1 FROM kept JOIN probs USING (doc_id)"""
 )
 def stream_clean_score(spark, folder):
-    """Clean and keep incoming texts, then score each micro-batch."""
+    """Clean, keep and score incoming texts in one append query without state."""
     stream = stream_table(spark, folder, "documents").select("doc_id", F.col("text").alias("body"))
     cleaned = J.clean_stream(stream).select("doc_id", "text", F.length("text").cast("long").alias("clean_chars"))
-    weights = inline_if_small(token_weights(spark, folder))
-    path = scratch_path(spark, "stream-scores")
-
-    def score(batch, batch_id):
-        logits = I.linear_logits(batch, ["doc_id", "clean_chars"], "text", weights, BIAS)
-        scored = I.predict_logits(logits)
-        narrow = scored.select(
-            "doc_id", "clean_chars", "predicted_class", r6(F.get("class_probabilities", F.lit(1))).alias("p1")
-        )
-        write_batch(narrow, path, batch_id)
-
-    J.start_batch_sink(cleaned, score, f"{path}_checkpoint", mode="append", available_now=True).awaitTermination()
-    return spark.read.parquet(path).drop("batch_id")
+    logits = I.linear_logits(cleaned, ["doc_id", "clean_chars"], "text", token_weights(spark, folder), BIAS)
+    scored = I.predict_logits(logits)
+    p1 = r6(F.get("class_probabilities", F.lit(1))).alias("p1")
+    return written(scored.select("doc_id", "clean_chars", "predicted_class", p1), "stream-scores")
 
 
 @query("SELECT DISTINCT sha256(text) AS text_hash FROM documents")

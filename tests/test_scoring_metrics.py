@@ -151,7 +151,7 @@ def test_ensembles(spark):
 
 
 def test_ensemble_argument_errors():
-    with pytest.raises(ValueError, match="must match"):
+    with pytest.raises(ValueError, match="1 weights for 2 members"):
         I.normalized_weights(["a", "b"], [1.0])
     with pytest.raises(ValueError):
         I.normalized_weights([])
@@ -162,7 +162,7 @@ def test_single_text(spark):
     score = lambda df: predict_table(df, lambda d: I.score_with(d, "text", lambda: lambda ts: [[0.1, 0.9]] * len(ts)))
     row = I.predict_single(spark, "some debt", score)
     assert row["text"] == "some debt" and row["predicted_class"] == 1
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no text"):
         I.predict_single(spark, "", score)
 
 
@@ -197,14 +197,24 @@ def test_predict_and_evaluate(spark):
         predict_table(df, score, "missing")
 
 
-def test_linear_logits_large_vocabulary_shuffles(spark, monkeypatch):
-    monkeypatch.setattr("issuelens.operators.small.inline_if_small.__defaults__", (1, 8 << 20))
+@pytest.mark.parametrize("limit", [10_000, 1])
+def test_linear_logits_of_small_and_large_vocabularies(spark, limit):
     df = spark.createDataFrame([(1, "a a b"), (2, ""), (3, "z")], "id int, text string")
     weights = spark.createDataFrame([("a", 1, 0.5), ("b", 1, -2.0), ("b", 0, 1.0)], "token string, class int, weight double")
-    rows = {r["id"]: r["logits"] for r in I.linear_logits(df, ["id"], "text", weights, [0.0, 0.25]).collect()}
+    rows = {r["id"]: r["logits"] for r in I.linear_logits(df, ["id"], "text", weights, [0.0, 0.25], max_rows=limit).collect()}
     assert rows == {1: [1.0, -0.75], 2: [0.0, 0.25], 3: [0.0, 0.25]}
 
 
+def test_small_weights_are_a_constant_of_the_scan(spark, tmp_path):
+    spark.range(500).select("id", F.concat_ws(" ", F.lit("good"), F.col("id")).alias("text")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    weights = spark.range(2000).select(F.col("id").cast("string").alias("token"), F.lit(1).alias("class"), (F.col("id") / 8).alias("weight"))
+    logits = I.linear_logits(df, ["id"], "text", weights, [0.0, 1.0])
+    plan = executed(logits)
+    assert "Exchange" not in plan and "Generate" not in plan and "from_json" not in plan
+    assert all(r["logits"] == [0.0, 1.0 + r["id"] / 8] for r in logits.collect())
+
+
 def test_top_classes(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.2, 0.1],)], "class_probabilities array<double>")
     names = dict(enumerate("abcd"))
