@@ -11,10 +11,12 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuelens.operators.metrics import compute_metrics, kfold_summary, long_metrics, weighted_log_loss
+from issuelens.functions.text import tokens
+from issuelens.operators.metrics import LEAST_PROBABILITY, compute_metrics, kfold_summary, long_metrics, weighted_log_loss
 from issuelens.operators.sampling import kfold
-from issuelens.operators.scoring import add_prediction, score_with_model
+from issuelens.operators.scoring import add_prediction, linear_logits, predict_logits, score_with_model
 from issuelens.operators.small import inline_if_small
+from issuelens.session import materialize
 
 WEIGHT = "class_weight"
 
@@ -146,3 +148,76 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def token_totals(df: DataFrame, text: str = "text", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """(by, class, token, n): how often each token stands in the texts of a class; token '' counts the texts."""
+    counted = F.concat(F.array(F.lit("")), tokens(F.col(text)))
+    rows = df.where(F.col(label).isNotNull()).select(*by, F.col(label).cast("int").alias("class"), F.explode(counted).alias("token"))
+    return rows.groupBy(*by, "class", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bayes_weights(counts: DataFrame, n_classes: int = 2, smoothing: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, token, class, weight) of multinomial naive Bayes: logarithms of the tokens' shares
+    in a class, ``smoothing`` added to every count; token '' has those of the classes."""
+    classes = range(n_classes)
+    wide = counts.groupBy(*by, "token").agg(
+        *[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(f"__n{c}") for c in classes]
+    )
+    wide = wide.where(sum((F.col(f"__n{c}") for c in classes), F.lit(0)) > 0)
+    word = F.col("token") != ""
+    sizes = wide.groupBy(*by).agg(
+        F.count(F.when(word, 1)).alias("__words"),
+        *[F.sum(F.when(word, F.col(f"__n{c}")).otherwise(0)).alias(f"__s{c}") for c in classes],
+        F.sum(F.when(~word, sum((F.col(f"__n{c}") for c in classes), F.lit(0))).otherwise(0)).alias("__texts"),
+    )
+    if by:
+        joined = wide.join(F.broadcast(sizes), [*by])  # a row a model
+    else:
+        row = sizes.first().asDict()
+        joined = wide.withColumns({name: F.lit(value) for name, value in row.items()})
+    shares = [
+        F.when(word, (F.col(f"__n{c}") + smoothing) / (F.col(f"__s{c}") + smoothing * F.col("__words"))).otherwise(
+            F.greatest(F.col(f"__n{c}"), F.lit(LEAST_PROBABILITY)) / F.col("__texts")
+        )
+        for c in classes
+    ]
+    logs = F.posexplode(F.array(*[F.log(s) for s in shares])).alias("class", "weight")
+    return joined.select(*by, "token", logs)
+
+
+def fit_bayes(df: DataFrame, text: str = "text", label: str = "label", n_classes: int = 2, smoothing: float = 1.0) -> DataFrame:
+    """Naive Bayes as a table of weights for :func:`predict_bayes`; one grouped count."""
+    return bayes_weights(token_totals(df, text, label), n_classes, smoothing)
+
+
+def predict_bayes(df: DataFrame, model: DataFrame, key_cols: Sequence[str], text: str = "text") -> DataFrame:
+    """Keys, probabilities and winner; tokens the model does not know do not count."""
+    priors = sorted((r["class"], r["weight"]) for r in model.where("token = ''").collect())  # a row a class
+    weights = model.where("token <> ''")
+    return predict_logits(linear_logits(df, key_cols, text, weights, [w for _, w in priors]))
+
+
+def cross_validate_bayes(
+    df: DataFrame, key_cols: Sequence[str], fold: str = "fold", text: str = "text", label: str = "label", k: int = 5,
+    n_classes: int = 2, smoothing: float = 1.0,
+) -> DataFrame:
+    """Every row scored by the model of the other folds: keys, fold, label, probabilities and winner.
+
+    Tokens are counted once, by fold; the counts a model learns from are all but those of
+    its fold. All folds are then scored in one join.
+    """
+    counts = materialize(token_totals(df, text, label, [fold]), "fold_counts")
+    every = counts.groupBy("class", "token").agg(F.sum("n").alias("__all"))
+    every = every.withColumn(fold, F.explode(F.sequence(F.lit(1), F.lit(k))))
+    left = every.join(counts, [fold, "class", "token"], "left")
+    left = left.select(fold, "class", "token", (F.col("__all") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    weights = bayes_weights(left, n_classes, smoothing, [fold])
+    table = weights.groupBy(fold, "token").agg(
+        *[F.sum(F.when(F.col("class") == c, F.col("weight"))).alias(f"__w{c}") for c in range(n_classes)]
+    )
+    counted = F.concat(F.array(F.lit("")), tokens(F.col(text)))
+    rows = df.select(*key_cols, fold, label, F.explode(counted).alias("token")).groupBy(*key_cols, fold, label, "token").count()
+    sums = [F.sum(F.col("count") * F.col(f"__w{c}")) for c in range(n_classes)]
+    logits = rows.join(table, [fold, "token"]).groupBy(*key_cols, fold, label).agg(F.array(*sums).alias("logits"))
+    return predict_logits(logits)

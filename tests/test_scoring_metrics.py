@@ -338,3 +338,25 @@ def test_join_sides_are_bounded_by_rows_and_bytes(spark):
     short = wide.limit(70)
     assert inline_if_small(wide) is wide and inline_if_small(short, max_bytes=1 << 20) is short
     assert inline_if_small(short) is not short
+
+
+def test_naive_bayes_by_hand(spark):
+    rows = [(1, 0, "a a b"), (2, 1, "b c"), (3, 1, None), (4, None, "x")]
+    df = spark.createDataFrame(rows, "id long, label int, text string")
+    model = {(r["token"], r["class"]): r["weight"] for r in TR.fit_bayes(df).collect()}
+    log = __import__("math").log
+    assert model[("a", 0)] == pytest.approx(log(3 / 6)) and model[("a", 1)] == pytest.approx(log(1 / 5))
+    assert model[("c", 0)] == pytest.approx(log(1 / 6)) and model[("c", 1)] == pytest.approx(log(2 / 5))
+    assert model[("", 0)] == pytest.approx(log(1 / 3)) and ("x", 0) not in model
+    scored = {r["id"]: r["predicted_class"] for r in TR.predict_bayes(df, TR.fit_bayes(df), ["id"]).collect()}
+    assert scored == {1: 0, 2: 1, 3: 1, 4: 1}
+
+
+def test_bayes_folds_equal_separate_models(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    rows = rows.withColumn("fold", (F.col("doc_id") % 3 + 1).cast("int"))
+    got = {r["doc_id"]: r["class_probabilities"][1] for r in TR.cross_validate_bayes(rows, ["doc_id"], k=3).collect()}
+    model = TR.fit_bayes(rows.where("fold <> 2"))
+    want = {r["doc_id"]: r["class_probabilities"][1] for r in TR.predict_bayes(rows.where("fold = 2"), model, ["doc_id"]).collect()}
+    assert len(got) == rows.count() and all(got[d] == pytest.approx(p) for d, p in want.items())
