@@ -143,6 +143,26 @@ def stream_late_labels(spark, folder):
     return stamped(rounded(scores, *SCORES), "window_start")
 
 
+@query(
+    """WITH late AS (SELECT ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events WHERE event_id % 10 <> 0) AS dropped
+      FROM events WHERE event_id % 10 = 0)
+    SELECT CAST(count(*) AS BIGINT) AS n_input, CAST(count_if(dropped) AS BIGINT) AS n_dropped FROM late"""
+)
+def stream_late_rows(spark, folder):
+    """Rows that arrive after the others were read, and how many of them are too late, from the log of the queries."""
+    inbox, log = scratch_path(spark, "late-inbox"), scratch_path(spark, "late-log")
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = scratch_path(spark, "late-out")
+    with J.logged_late_rows(spark, log), J.durable_state(spark):
+        for part in ("event_id % 10 <> 0", "event_id % 10 = 0"):  # what arrives first, and what arrives later
+            events.where(part).write.mode("append").parquet(inbox)
+            stream = spark.readStream.schema(events.schema).parquet(inbox).withWatermark("ts", "1 day")
+            J.start_table_sink(stream.dropDuplicates(["event_id", "ts"]), out, f"{out}_checkpoint", available_now=True).awaitTermination()
+    batches = spark.read.parquet(log)
+    last = batches.groupBy("query_id").agg(F.max("batch_id").alias("batch_id"))
+    return batches.join(last, ["query_id", "batch_id"]).select("n_input", "n_dropped")
+
+
 @query(f"WITH {FLAT} SELECT id, title, state, user_login, labels FROM flat")
 def stream_issue_source(spark, folder):
     """New issue files as they arrive, flattened."""

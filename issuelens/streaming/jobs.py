@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from issuelens.functions.text import text_hash, with_clean_text
 from issuelens.operators.metrics import binary_scores
@@ -220,6 +222,72 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+LATE_ROWS = "query_id string, batch_id long, operator string, place int, watermark string, n_input long, n_dropped long"
+
+
+class LateRowLog(StreamingQueryListener):
+    """Keeps a table of the rows each batch dropped because they came after the watermark.
+
+    A row per batch and stateful operator, written as a partition of its own: a batch that
+    runs again after a restart replaces its rows. After an aggregation the engine counts
+    groups, elsewhere rows. A driver lost between a batch and its report loses that report.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.running: set[str] = set()
+        self.failure: Exception | None = None
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self.changed:
+            self.running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        report = event.progress
+        mark = report.eventTime.get("watermark")
+        rows = [
+            (str(report.id), report.batchId, o.operatorName, i, mark, report.numInputRows, o.numRowsDroppedByWatermark)
+            for i, o in enumerate(report.stateOperators)
+        ]
+        if not report.numInputRows or not rows:
+            return
+        try:
+            table = self.spark.createDataFrame(rows, LATE_ROWS).coalesce(1)
+            writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("query_id", "batch_id").parquet(self.path)
+        except Exception as error:  # the engine swallows what a listener raises
+            self.failure = error
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.running.discard(str(event.runId))
+            self.changed.notify_all()
+
+
+@contextmanager
+def logged_late_rows(spark: SparkSession, path: str, patience: float = 60.0) -> Iterator[LateRowLog]:
+    """The session's queries report late rows to the table at ``path``.
+
+    Leaving waits until the queries started inside have ended and their reports are
+    written; reports come on a thread of their own, later than the batches.
+    """
+    log = LateRowLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        yield log
+        with log.changed:
+            if not log.changed.wait_for(lambda: not log.running, patience):
+                raise TimeoutError(f"queries still run or report: {sorted(log.running)}")
+        if log.failure:
+            raise log.failure
+    finally:
+        spark.streams.removeListener(log)
+
+
 def late_rows_dropped(query: StreamingQuery) -> int:
     """Rows that came after the watermark in the batches the query still reports on."""
     return sum(

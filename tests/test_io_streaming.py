@@ -2,6 +2,7 @@
 
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Observation
@@ -144,6 +145,22 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert J.late_rows_dropped(query) == 1
 
 
+def test_late_rows_are_logged_by_batch(spark, tmp_path):
+    batches = [[(1, at(10), "r", "a")], [(2, at(500), "r", "b")], [(4, at(510), "r", "c")]]
+    batches.append([(3, at(5), "r", "late"), (6, at(6), "r", "late"), (7, at(520), "r", "d")])  # a batch is measured by the watermark before the last
+    stream = events(spark, tmp_path, "logged", batches).withWatermark("ts", "10 minutes").dropDuplicates(["id", "ts"])
+    path, log = scratch_path(spark, "logged"), scratch_path(spark, "log")
+    with J.logged_late_rows(spark, log) as listener:
+        query = J.start_table_sink(stream, path, f"{path}_checkpoint", available_now=True)
+        query.awaitTermination()
+    rows = spark.read.parquet(log).orderBy("batch_id").collect()
+    assert [(r["n_input"], r["n_dropped"]) for r in rows] == [(1, 0), (1, 0), (1, 0), (3, 2)]
+    assert {r["query_id"] for r in rows} == {str(query.id)}
+    last = [p for p in query.recentProgress if p.numInputRows][-1]
+    listener.onQueryProgress(SimpleNamespace(progress=last))  # a batch that runs again
+    assert sorted(spark.read.parquet(log).collect()) == sorted(rows)
+
+
 def test_stream_clean_equals_batch(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
     docs.repartition(3).write.parquet(str(tmp_path / "docs"))
