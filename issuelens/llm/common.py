@@ -92,18 +92,19 @@ def numbered(df: DataFrame, order: list, name: str = "row_no") -> tuple[DataFram
     Rows are sorted by range once and written with their partition and place; what then
     remains is one count per partition. Pass narrow frames: all columns are written.
     """
+    part, at, first = (fresh(df, n) for n in ("_part", "_at", "_first"))
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
     placed = materialize(placed, "numbered")
-    counts = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())  # a row per partition
+    counts = sorted(tuple(r) for r in placed.groupBy(part).count().collect())  # a row per partition
     starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
+    for number_of, n in counts:
+        starts.append((number_of, total))
         total += n
-    firsts = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _first long"))
-    number = (F.col("_first") + F.col("_at")).alias(name)
-    return placed.join(firsts, "_part").select(*[F.col(f"`{c}`") for c in df.columns], number), total
+    firsts = F.broadcast(df.sparkSession.createDataFrame(starts, f"{part} int, {first} long"))
+    number = (F.col(first) + F.col(at)).alias(name)
+    return placed.join(firsts, part).select(*[F.col(f"`{c}`") for c in df.columns], number), total

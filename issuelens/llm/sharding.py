@@ -78,11 +78,14 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> D
 
     Rows are numbered in the order of ``order``; shard sizes differ by one row at most.
     Equal rows are counted before the sort and get a copy number, so that no group of
-    them has to stay together. Nulls come first; an empty table stays empty.
+    them has to stay together. Nulls come first; an empty table stays empty. Columns of
+    ``df`` may have any names but those three, which are refused.
     """
     if shards < 1:
         raise ValueError("at least one shard")
     columns = df.columns
+    if taken := {"row_no", "shard", "slot"} & {c.lower() for c in columns}:
+        raise ValueError(f"columns already there: {sorted(taken)}")
     copy = fresh(df, "_copy")
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(copy))
     spread = counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))))
@@ -93,12 +96,13 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> D
     def place(row_no: pd.Series) -> pd.Series:
         return pd.Series(permute(row_no.to_numpy(), total, seed))
 
-    placed = rows.withColumn("_place", place("row_no"))
+    at = fresh(rows, "_place")
+    placed = rows.withColumn(at, place("row_no"))
     return placed.select(
         *[F.col(f"`{c}`") for c in columns],
         "row_no",
-        (F.col("_place") % shards).cast("int").alias("shard"),
-        F.expr(f"_place div {shards}").alias("slot"),
+        (F.col(at) % shards).cast("int").alias("shard"),
+        F.expr(f"`{at}` div {shards}").alias("slot"),
     )
 
 

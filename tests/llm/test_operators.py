@@ -151,6 +151,16 @@ def test_proximity(spark):
     assert {d for d, _ in found} == {1, 2} and (1, 1) in found and (2, 0) in found
 
 
+def test_shard_rows_keeps_columns_of_any_name(spark):
+    rows = [(i, 77, 5, 6, 7) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, _part int, _place int, _at int, _first int")
+    got = sharding.shard_rows(df, ["id"], 2).collect()
+    assert sorted(tuple(r)[:5] for r in got) == rows
+    assert all((r["shard"], r["slot"]) == sharding.locate(r["row_no"], 9, 2) for r in got)
+    with pytest.raises(ValueError, match="already there"):
+        sharding.shard_rows(df.withColumn("slot", F.lit(1)), ["id"], 2)
+
+
 def test_sharding(spark, rows):
     docs = frame(spark, [*rows, *rows[:4]])
     got = sharding.shard_documents(docs, 5).collect()
