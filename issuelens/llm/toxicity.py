@@ -46,15 +46,56 @@ CLASSES = {"l": "i", "g": "b"}
 PARTS = re.compile(r"[^\s,;:?()\[\]{}\"<>/\\=#&%]+")
 PLAIN = re.compile(r"[^\W\d_]+")
 PIECES = re.compile("[^" + re.escape("".join(sorted(SEPARATORS))) + "]+")
-LETTER = r"(?:[^\W_]|[@$!|+])"
-# Before the first letter: a blank or a mark that ends a part, then marks; a word's apostrophe is none.
-SPACED = re.compile(rf"(?:(?<!\S)|(?<=[,;:?()\[\]{{}}\"<>/\\=#&%]))(?:(?![@$!|+])[^\w\s]|_)*({LETTER}(?:\s+{LETTER}){{2,}})(?![^\W_])")
+TWICE = re.compile(r"(.)\1")
+SIGNS = "@$!|+"
+PART_ENDS = set(",;:?()[]{}\"<>/\\=#&%")
+LONG_TOKEN = 64
+LONG_RUN = 8
+SPARE = 8
 
 
 def symbol(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else 27
 
 
+def letter(char: str) -> bool:
+    """Whether a character that stands apart may be a letter of a word."""
+    return char.isalnum() or char in SIGNS
+
+
+def opens(token: str) -> bool:
+    """Whether the last character of ``token`` may be the first letter of a word set apart:
+    before it come only marks, back to a blank or to a mark that ends a part. A word's
+    apostrophe is none.
+    """
+    if not letter(token[-1]):
+        return False
+    for char in reversed(token[:-1]):
+        if char in PART_ENDS:
+            return True
+        if char.isalnum() or char in SIGNS:
+            return False
+    return True
+
+
+def spaced_letters(tokens: list[str]) -> Iterator[str]:
+    """Runs of three or more letters that stand apart; marks may surround a run."""
+    at = 0
+    for i, token in enumerate(tokens):
+        if i < at or len(token) != 1 or not letter(token):
+            continue
+        at = i
+        while at < len(tokens) and len(tokens[at]) == 1 and letter(tokens[at]):
+            at += 1
+        run = "".join(tokens[i:at])
+        if i and len(tokens[i - 1]) > 1 and opens(tokens[i - 1]):
+            run = tokens[i - 1][-1] + run
+        if at < len(tokens) and letter(tokens[at][0]) and not tokens[at][1:2].isalnum():
+            run += tokens[at][0]
+        if len(run) > 2:
+            yield run
+
+
 @lru_cache(maxsize=65536)
 def bare(char: str) -> str:
     """The letter under accents or in another width; other characters as they are."""
@@ -64,19 +105,48 @@ def bare(char: str) -> str:
     return first if "a" <= first <= "z" else char
 
 
+@lru_cache(maxsize=65536)
+def shape_of(char: str) -> str:
+    """The letter that stands for a character and its look-alikes; none for separators."""
+    if char in SEPARATORS:
+        return ""
+    char = bare(LOOKALIKES.get(char, char)[0])
+    return CLASSES.get(char, char)
+
+
 def skeleton(token: str) -> str:
     """What a token and all its possible sources have in common."""
-    out: list[str] = []
+    out, last = [], ""
+    for char in map(shape_of, token):
+        if char and char != last:
+            out.append(char)
+            last = char
+    return "".join(out)
+
+
+def beginning(token: str, runs: int) -> str:
+    """``token`` up to its first ``runs`` runs of equal characters, separators not counted;
+    of longer runs ``LONG_RUN`` characters are kept, as no word repeats a letter so often.
+    """
+    out, last, length = [], "", 0
     for char in token:
-        if char in SEPARATORS:
-            continue
-        char = bare(LOOKALIKES.get(char, char)[0])
-        char = CLASSES.get(char, char)
-        if not out or out[-1] != char:
+        if char != last:
+            if char not in SEPARATORS:
+                runs -= 1
+                if runs < 0:
+                    break
+            last, length = char, 0
+        length += 1
+        if length <= LONG_RUN:
             out.append(char)
     return "".join(out)
 
 
+def plain(word: str) -> bool:
+    """Whether a word can be no other word in disguise: letters only, none twice in a row."""
+    return word.isascii() and word.isalpha() and not TWICE.search(word)
+
+
 def features_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if n < len(word)]]
 
@@ -113,14 +183,17 @@ class CharacterModel:
         """Likely sources, best first: of the ``PATHS`` best paths to each state (last two
         letters) at the end those with a log probability within ``MARGIN`` of the best.
         """
+        # A path is its score, a code of its letters, and (path before, last letters).
         best: list[dict[tuple[int, int], list]] = [{} for _ in range(len(token) + 1)]
-        best[0][(0, 0)] = [(0.0, "")]
+        best[0][(0, 0)] = [(0.0, 0, None)]
+        run = 0
         for at, char in enumerate(token):
+            if run <= at:
+                run = at + 1
+                while run < len(token) and token[run] == char:
+                    run += 1
             if not best[at]:
                 continue
-            run = at + 1
-            while run < len(token) and token[run] == char:
-                run += 1
             arcs: list[tuple[str, int, float]] = []
             if char in SEPARATORS:
                 arcs.append(("", run, 0.1))
@@ -139,22 +212,50 @@ class CharacterModel:
             for (a, b), paths in best[at].items():
                 for letters, to, cost in arcs:
                     x, y, gain = a, b, -cost
-                    for letter in letters:
-                        z = symbol(letter)
+                    for one in letters:
+                        z = symbol(one)
                         gain += self.log[x][y][z]
                         x, y = y, z
                     held = best[to].setdefault((x, y), [])
-                    held += [(score + gain, text + letters) for score, text in paths]
+                    for score, code, node in paths:
+                        held.append((score + gain, coded(code, letters), (node, letters) if letters else node))
                     if len(held) > PATHS:
-                        held[:] = sorted(set(held), reverse=True)[:PATHS]
+                        held[:] = leading(held)
+            if at:
+                best[at] = {}
         ends = {}
         for (a, b), paths in best[-1].items():
-            for score, text in paths:
+            for score, _, node in paths:
+                text = spelled(node)
                 ends[text] = max(score + self.log[a][b][0], ends.get(text, -np.inf))
         ranked = sorted(((score, text) for text, score in ends.items()), reverse=True)
         return [text for score, text in ranked if score >= ranked[0][0] - MARGIN]
 
 
+def coded(code: int, letters: str) -> int:
+    for one in letters:
+        code = (code * 1_000_003 + ord(one)) % ((1 << 61) - 1)
+    return code
+
+
+def spelled(node) -> str:
+    """The letters of a path, followed back to its start."""
+    out = []
+    while node is not None:
+        node, letters = node
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def leading(held: list) -> list:
+    """The ``PATHS`` best paths; of equal scores with equal letters one."""
+    out: list = []
+    for path in sorted(held, key=lambda p: (p[0], p[1]), reverse=True):
+        if not out or out[-1][:2] != path[:2]:
+            out.append(path)
+    return out[:PATHS]
+
+
 def character_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams in all documents; each batch is summed before the shuffle."""
     small_batches(docs.sparkSession)
@@ -190,15 +291,25 @@ class Restorer:
         self.model = CharacterModel(counts, [w.rstrip("*") for w in weights])
         self.skeletons = {skeleton(w.rstrip("*")) for w in weights}
         self.lengths = sorted({len(s) for s in self.skeletons})
+        self.heads = {w.rstrip("*")[: PREFIXES.start] for w in weights}
+        self.shortest = self.lengths[0] if self.lengths else 0
+        self.starts = {s[:n] for s in self.skeletons for n in range(self.shortest + 1)}
+        self.longest = max((len(w) for w in weights), default=0)
+        # No known word, and no beginning of one, takes more runs of characters than these.
+        self.runs = 2 * max(self.longest, max(PREFIXES)) + SPARE
         self.cache: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         """Evidence of a restored word: that of its strongest feature, or zero."""
+        if word[: PREFIXES.start] not in self.heads:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
 
     def token(self, token: str) -> float:
         """Evidence of a token between blanks. Disguises are tried where one could fit."""
-        return sum(self.part(part) for part in PARTS.findall(token))
+        if plain(token):
+            return self.word(token)
+        return sum(self.word(part) if plain(part) else self.part(part) for part in PARTS.findall(token))
 
     def part(self, part: str) -> float:
         """Known plain words count each; what is left is decoded from the start of every
@@ -227,8 +338,11 @@ class Restorer:
     def disguised(self, part: str, pieces: list[tuple[int, int]], i: int) -> tuple[float, int]:
         """Best evidence of a disguised word from piece ``i`` on, and how many pieces it takes."""
         shape, ends = "", []
-        for j in range(i, len(pieces)):
-            before, shape = len(shape), skeleton(shape + part[pieces[j][0] : pieces[j][1]])
+        for j in range(i, min(len(pieces), i + self.runs)):
+            piece = beginning(part[pieces[j][0] : pieces[j][1]], self.runs)
+            before, shape = len(shape), skeleton(shape + piece)
+            if shape[: self.shortest] not in self.starts:
+                break
             if any(before < n <= len(shape) and shape[:n] in self.skeletons for n in self.lengths):
                 ends += [j, j + 1]  # a beginning may go on in the next piece
             if len(shape) >= max(self.lengths, default=0):
@@ -237,7 +351,9 @@ class Restorer:
             ends.append(len(pieces) - 1)
         best, used = 0.0, 1
         for j in sorted({j for j in ends if j < len(pieces)}):
-            span = part[pieces[i][0] : pieces[j][1]]
+            span = beginning(part[pieces[i][0] : pieces[j][1]], self.runs)
+            if plain(span):  # looked up before
+                continue
             cores = {span, span.rstrip("!|+"), span.strip("!|+@$")}
             hidden = not span.isalpha() or not span.isascii() or re.search(r"(.)\1\1", span)
             most = None if hidden else 1  # ordinary words keep their likeliest reading
@@ -246,21 +362,43 @@ class Restorer:
                 best, used = found, j - i + 1
         return best, used
 
-    def spaced(self, letters: str) -> float:
-        """Evidence of letters that were set apart: known words anywhere in the restored run."""
-        run = "".join(letters.split())
-        shape = skeleton(run)
-        if not any(shape[i : i + n] in self.skeletons for n in self.lengths for i in range(len(shape) - n + 1)):
-            return 0.0
-        return max(self.inside(restored) for restored in self.model.sources(run))
+    def spaced(self, run: str) -> float:
+        """Evidence of letters that were set apart: known words anywhere in the restored run.
+
+        Only stretches around known skeletons are decoded; the rest can't hold a known word.
+        """
+        places, shape = [], []
+        for at, char in enumerate(run):
+            char = shape_of(char)
+            if char and (not shape or shape[-1] != char):
+                places.append(at)
+                shape.append(char)
+        shape, places = "".join(shape), [*places, len(run)]
+        total, start, stop = 0.0, 0, 0
+        for i in range(len(shape)):
+            ends = [i + n for n in self.lengths if i + n <= len(shape) and shape[i : i + n] in self.skeletons]
+            if not ends:
+                continue
+            first, last = places[max(i - 2, 0)], places[min(max(ends) + 2, len(shape))]
+            if first >= stop:
+                total += self.stretch(run[start:stop])
+                start = first
+            stop = max(stop, last)
+        return total + self.stretch(run[start:stop])
+
+    def stretch(self, letters: str) -> float:
+        """Evidence of the source of ``letters`` that has most of it."""
+        letters = beginning(letters, len(letters))
+        return max((self.inside(restored) for restored in self.model.sources(letters)), default=0.0) if letters else 0.0
 
     def inside(self, restored: str) -> float:
         """Evidence of the known words in a run of letters, longest first from the left."""
         total, at = 0.0, 0
         while at < len(restored):
-            ends = [e for e in range(len(restored), at + 2, -1) if restored[at:e] in self.weights]
-            total += self.weights[restored[at : ends[0]]] if ends else 0.0
-            at = ends[0] if ends else at + 1
+            most = min(len(restored), at + self.longest)
+            end = next((e for e in range(most, at + 2, -1) if restored[at:e] in self.weights), 0)
+            total += self.weights[restored[at:end]] if end else 0.0
+            at = end or at + 1
         return total
 
     def text(self, text: str) -> tuple[float, int]:
@@ -271,10 +409,12 @@ class Restorer:
         total, cache = 0.0, self.cache
         for token, n in Counter(tokens).items():
             if (found := cache.get(token)) is None:
-                found = cache[token] = self.token(token)
+                found = self.token(token)
+                if len(token) <= LONG_TOKEN:
+                    cache[token] = found
             total += found * n
-        for match in SPACED.finditer(text.lower()):
-            total += self.spaced(match.group(1))
+        for run in spaced_letters(tokens):
+            total += self.spaced(run)
         return total, len(tokens)
 
 
