@@ -49,6 +49,7 @@ PIECES = re.compile("[^" + re.escape("".join(sorted(SEPARATORS))) + "]+")
 TWICE = re.compile(r"(.)\1")
 SIGNS = "@$!|+"
 PART_ENDS = set(",;:?()[]{}\"<>/\\=#&%")
+MARKS = "".join(sorted(SEPARATORS | PART_ENDS))
 LONG_TOKEN = 64
 LONG_RUN = 8
 SPARE = 8
@@ -307,10 +308,19 @@ class Restorer:
 
     def token(self, token: str) -> float:
         """Evidence of a token between blanks. Disguises are tried where one could fit."""
-        if plain(token):
-            return self.word(token)
+        bare_token = token.strip(MARKS)
+        if bare_token.isascii() and bare_token.isalpha():
+            found = self.word(bare_token)
+            if found or not TWICE.search(bare_token) or not self.begins(skeleton(bare_token), 0):
+                return found
         return sum(self.word(part) if plain(part) else self.part(part) for part in PARTS.findall(token))
 
+    def begins(self, shape: str, longer_than: int) -> bool:
+        """Whether ``shape`` begins with a known skeleton of more than so many letters."""
+        if shape[: self.shortest] not in self.starts:
+            return False
+        return any(longer_than < n <= len(shape) and shape[:n] in self.skeletons for n in self.lengths)
+
     def part(self, part: str) -> float:
         """Known plain words count each; what is left is decoded from the start of every
         piece between separators that could begin with a known word.
@@ -343,7 +353,7 @@ class Restorer:
             before, shape = len(shape), skeleton(shape + piece)
             if shape[: self.shortest] not in self.starts:
                 break
-            if any(before < n <= len(shape) and shape[:n] in self.skeletons for n in self.lengths):
+            if self.begins(shape, before):
                 ends += [j, j + 1]  # a beginning may go on in the next piece
             if len(shape) >= max(self.lengths, default=0):
                 break
