@@ -97,7 +97,9 @@ def class_scores(spark: SparkSession, folder: str, n_classes: int = 10) -> DataF
         pairs = F.zip_with("e", F.lit(mean), lambda x, y: x * y)
         return F.round(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) * 10, 6)
 
-    return rows.select("vec_id", "label", F.array(*[product(means[c]) for c in range(n_classes)]).alias("logits"))
+    # A class without rows has no mean, so its logit is null.
+    logits = [product(means[c]) if c in means else F.lit(None).cast("double") for c in range(n_classes)]
+    return rows.select("vec_id", "label", F.array(*logits).alias("logits"))
 
 
 CLASS_SCORES = """parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),

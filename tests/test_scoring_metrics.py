@@ -360,3 +360,15 @@ def test_bayes_folds_equal_separate_models(spark, sf_dir):
     model = TR.fit_bayes(rows.where("fold <> 2"))
     want = {r["doc_id"]: r["class_probabilities"][1] for r in TR.predict_bayes(rows.where("fold = 2"), model, ["doc_id"]).collect()}
     assert len(got) == rows.count() and all(got[d] == pytest.approx(p) for d, p in want.items())
+
+
+def test_class_scores_of_few_classes(spark, tmp_path):
+    """Classes that no row has get no logit; an empty table has no rows."""
+    from issuelens.plans.registry import class_scores
+
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 2, [0.0, 1.0])], "vec_id long, label int, embedding array<float>")
+    for name, some in {"few": rows, "none": rows.limit(0)}.items():
+        some.write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    got = {r["vec_id"]: r["logits"] for r in class_scores(spark, f"{tmp_path}/few", 4).collect()}
+    assert got == {1: [10.0, None, 0.0, None], 2: [0.0, None, 10.0, None]}
+    assert class_scores(spark, f"{tmp_path}/none", 4).collect() == []
