@@ -9,6 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def computed_once(col: Column) -> Column:
+    """``col`` as it is, in a form that no filter or later column repeats.
+
+    A column that depends on the partition stays in its projection; otherwise a filter on
+    what is made of it is moved below and computes it again for each of its uses.
+    """
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def softmax(logits: Column) -> Column:
     """Max-shifted softmax of an array of doubles."""
     shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
@@ -47,6 +56,27 @@ def weighted_mean_arrays(arrays: Sequence[Column], weights: Sequence[float]) ->
     return F.transform(F.coalesce(*arrays), combine)
 
 
+def settled_means(arrays: Sequence[Column]) -> Column:
+    """:func:`mean_arrays` of doubles, in which entries that rounding alone keeps apart from the largest equal it.
+
+    A mean may be off by one rounding of every number in it, one of every sum and one of
+    the quotient; a smaller distance says nothing, and its sign depends on the order of
+    the arrays.
+    """
+    added = reduce(lambda x, y: x + y, [F.when(a.isNotNull(), 1.0).otherwise(0.0) for a in arrays])
+
+    def entry(mean, i):
+        sizes = reduce(lambda x, y: x + y, [F.abs(F.coalesce(F.get(a, i), F.lit(0.0))) for a in arrays])
+        return F.struct(mean.alias("mean"), (sizes * (added + 1) / added * 2.0**-53).alias("slack"))
+
+    entries = F.transform(mean_arrays(arrays), entry)
+    best = F.array_max(entries)
+    return F.transform(
+        entries,
+        lambda e: F.when(best["mean"] - e["mean"] < best["slack"] + e["slack"], best["mean"]).otherwise(e["mean"]),
+    )
+
+
 def top_classes(probabilities: Column, n: int) -> Column:
     """The ``n`` best ``(prob, idx)`` structs, best first; ties by class index."""
     ranked = F.transform(

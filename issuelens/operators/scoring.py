@@ -116,7 +116,7 @@ def linear_logits(
         hits = F.flatten(F.transform(known, lambda t: F.filter(slot(t), lambda e: e["t"] == t)))
         start = F.array(*[F.lit(float(b)) for b in bias])
         logits = F.aggregate("__hits", start, lambda held, e: F.zip_with(held, e["w"], lambda x, y: x + y))
-        return df.select(*key_cols, hits.alias("__hits")).select(*key_cols, logits.alias("logits"))
+        return df.select(*key_cols, hits.alias("__hits")).select(*key_cols, arrays.computed_once(logits).alias("logits"))
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     exploded = numbered.select(*key_cols, "__row", F.explode_outer(tokens(F.col(text), max_tokens)).alias("token"))
     logits = [F.coalesce(F.sum(f"__w{c}"), F.lit(0.0)) + F.lit(float(bias[c])) for c in classes]
@@ -274,8 +274,8 @@ def ensemble_long(
 
 
 def ensemble_logits(df: DataFrame, logit_cols: Sequence[str]) -> DataFrame:
-    """Unweighted mean of logits, then softmax and winner."""
-    mean = arrays.mean_arrays([F.col(c) for c in logit_cols])
+    """Unweighted mean of logits, then softmax and winner, the first one on ties up to rounding."""
+    mean = arrays.settled_means([F.col(c) for c in logit_cols])
     return predict_logits(df.withColumn("__mean_logits", mean), "__mean_logits")
 
 
