@@ -19,3 +19,14 @@ def test_logit_means_that_only_rounding_keeps_apart_are_tied(spark):
     assert all(found[i]["class_probabilities"] == [0.5, 0.5] for i in range(6))
     assert [found[i]["predicted_class"] for i in (10, 11, 12, 13, 14)] == [1, 0, 1, 0, None]
     assert found[12]["class_probabilities"][1] == pytest.approx(0.880797, abs=1e-6)
+
+
+def test_a_filter_on_scores_does_not_repeat_the_scoring(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a"), (2, "c")], "id long, text string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts")).repartition(2)
+    weights = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 0.5)], "token string, class int, weight double")
+    scored = I.predict_logits(I.linear_logits(texts, ["id"], "text", weights, [0.0, -1.0]))
+    flagged = R.flag_debt(scored, min_probability=0.6)
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("octet_length(lower(") == 1  # texts are cut into tokens in one place
+    assert [(r["id"], r["predicted_class"]) for r in flagged.collect()] == [(1, 1)]
