@@ -3,12 +3,17 @@
 Everything except Unicode compatibility folding is a built-in expression that stays
 inside generated JVM code. The patterns carry the flag ``(?d)``, which leaves ``\\n``
 as the only line end, and spell out Unicode white space and digits, since Java's
-short classes are ASCII.
+short classes are ASCII. A built-in replacement decodes, scans and encodes the text anew
+for every rule, so texts to which many rules apply are cleaned by Python's engine instead,
+with the same patterns.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -104,26 +109,79 @@ FOLD_STABLE = (
 )
 
 
+# Texts with as many rules that may match are cleaned by Python's engine.
+MANY_RULES = 8
+
+
+def _python_engine() -> tuple[Callable[[str, str], str], Callable[[str], str]]:
+    """One named rule, and the whole chain, on one text.
+
+    Python's short classes are Unicode and its line end is ``\\n``. Functions made inside
+    another go to the workers with their code.
+    """
+    rules = {}
+    for rule in ALL_RULES:
+        pattern = rule.pattern.replace("(?d)", "").replace("(?sd)", "(?s)").replace("(?md)", "(?m)").replace(r"\p{Nd}", r"\d")
+        pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)
+        rules[rule.name] = re.compile(pattern), rule.replacement.replace("$", "\\"), rule.needs
+    folded_before = PRINT_RULES[0].name
+    in_a_line = {"emphasis", "space_runs"}  # no match of these holds a line end
+    symbols = re.compile("[\u2300-\U0001faff]+")  # one range, searched faster, that holds all emoji
+
+    def step(text: str, name: str) -> str:
+        pattern, replacement, needs = rules[name]
+        if needs and not any(n in text for n in needs):
+            return text
+        if name in in_a_line:
+            lines = text.split("\n")
+            return "\n".join(pattern.sub(replacement, line) if any(n in line for n in needs) else line for line in lines)
+        if name == "emoji":
+            return symbols.sub(lambda m: pattern.sub(replacement, m[0]), text)
+        return pattern.sub(replacement, text)
+
+    def clean(text: str) -> str:
+        for name in rules:
+            if name == folded_before:
+                text = unicodedata.normalize("NFKC", text)
+            text = step(text, name)
+        return "\n".join(line for line in map(str.strip, text.splitlines()) if line)
+
+    return step, clean
+
+
+python_step, python_clean = _python_engine()
+
+
 @F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _fold_or_clean(to_fold: pd.Series, to_clean: pd.Series) -> pd.Series:
+    cleaned = to_clean.map(python_clean, na_action="ignore")
+    return cleaned.where(to_clean.notna(), to_fold.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore"))
+
+
 # Marked non-deterministic so that a filter on the cleaned text is not pushed below
 # it, which would run the Python worker twice per row.
-fold_compatibility = _fold.asNondeterministic()
+fold_compatibility, fold_or_clean = _fold.asNondeterministic(), _fold_or_clean.asNondeterministic()
 
 
 def _rewrite(col: Column, rule: Rule) -> Column:
     return F.regexp_replace(col, rule.pattern, rule.replacement)
 
 
+def _may_match(col: Column, rule: Rule) -> Column:
+    guards = [col.contains(need) for need in rule.needs]
+    return reduce(lambda a, b: a | b, guards) if guards else F.lit(True)
+
+
 def _rewrite_column(df: DataFrame, name: str, rules: list[Rule], only: Column | None = None) -> DataFrame:
     """Apply rules to a column, one projection each, skipping texts they cannot match."""
     for rule in rules:
         value = F.col(name)
-        guards = [value.contains(need) for need in rule.needs]
-        guard = reduce(lambda a, b: a | b, guards) if guards else F.lit(True)
+        guard = _may_match(value, rule)
         guard = guard if only is None else only & guard
         df = df.withColumn(name, F.when(guard, _rewrite(value, rule)).otherwise(value))
     return df
@@ -143,6 +201,21 @@ def markup_step(col: Column, name: str) -> Column:
     return reduce(_rewrite, [r for r in ALL_RULES if r.name == name], col)
 
 
+def markup_digests(col: Column, names: Sequence[str]) -> Column:
+    """A struct with the MD5 of what each named rule on its own makes of the text.
+
+    The text goes to Python once for all rules and only digests come back.
+    """
+
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        def each(name: str) -> pd.Series:
+            return texts.map(lambda t: hashlib.md5(python_step(t, name).encode()).hexdigest(), na_action="ignore")
+
+        return pd.DataFrame({name: each(name) for name in names})
+
+    return F.pandas_udf(digests, ", ".join(f"{name} string" for name in names)).asNondeterministic()(col)
+
+
 def compact_lines(col: Column) -> Column:
     """Strip every line, drop empty ones and join the rest with ``\\n``."""
     lines = F.transform(F.split(col, LINE_END, -1), strip)
@@ -158,25 +231,28 @@ def clean_text(col: Column) -> Column:
 def with_clean_text(df: DataFrame, source: str = "body", target: str = "text") -> DataFrame:
     """Add the cleaned text; the fast form of :func:`clean_text` with the same result.
 
-    Rules that cannot match a text are skipped, and only texts that folding may change
-    go to Python. What follows folding is one short expression, since a later filter on
+    Rules that cannot match a text are skipped. Only texts that folding may change go to
+    Python, and those that ``MANY_RULES`` rules may match, for the whole chain. What follows folding is one short expression, since a later filter on
     the text repeats it. Works on batch and streaming frames.
     """
-    bare, plain, folded = (f"__{target}_{part}" for part in ("bare", "plain", "folded"))
+    bare, plain, folded, whole = (f"__{target}_{part}" for part in ("bare", "plain", "folded", "whole"))
     odd = ~F.col(plain)
-    staged = df.withColumn(bare, null_to_empty(F.col(source)))
+    body = F.col(source)
+    rules = reduce(lambda a, b: a + b, [F.when(_may_match(body, rule), 1).otherwise(0) for rule in MARKUP_RULES])
+    staged = df.withColumn(whole, F.when(rules >= MANY_RULES, body))
+    staged = staged.withColumn(bare, F.when(F.col(whole).isNull(), null_to_empty(body)).otherwise(""))
     staged = _rewrite_column(staged, bare, MARKUP_RULES)
     staged = staged.withColumn(plain, F.col(bare).rlike(PLAIN_LATIN))
     staged = _rewrite_column(staged, bare, SYMBOL_RULES, odd)
     staged = _rewrite_column(staged, bare, SPACE_RUNS, F.col(plain))
     to_fold = F.when(odd & ~F.col(bare).rlike(FOLD_STABLE), F.col(bare))
-    staged = staged.withColumn(folded, fold_compatibility(to_fold))
+    staged = staged.withColumn(folded, fold_or_clean(to_fold, F.col(whole)))
     # Line ends are white space, so stripping lines and dropping empty ones amounts to
     # making each white-space run that holds a line end a single one.
     plain_lines = strip(F.regexp_replace(F.col(bare), PLAIN_LINE_ENDS, "\n"))
     printed = reduce(_rewrite, [*PRINT_RULES, *LAYOUT_RULES], F.coalesce(folded, bare))
-    text = F.when(F.col(plain), plain_lines).otherwise(compact_lines(printed))
-    return staged.withColumn(target, text).drop(bare, plain, folded)
+    text = F.when(F.col(whole).isNotNull(), F.col(folded)).when(F.col(plain), plain_lines).otherwise(compact_lines(printed))
+    return staged.withColumn(target, text).drop(bare, plain, folded, whole)
 
 
 def words(col: Column) -> Column:

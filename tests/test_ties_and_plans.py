@@ -3,9 +3,12 @@
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
+from issuelens.functions import text as T
 from issuelens.operators import relational as R
 from issuelens.operators import scoring as I
+from issuelens.plans.text_queries import BODY, SQL_RULES
 
 
 def test_logit_means_that_only_rounding_keeps_apart_are_tied(spark):
@@ -30,3 +33,18 @@ def test_a_filter_on_scores_does_not_repeat_the_scoring(spark, tmp_path):
     plan = flagged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("octet_length(lower(") == 1  # texts are cut into tokens in one place
     assert [(r["id"], r["predicted_class"]) for r in flagged.collect()] == [(1, 1)]
+
+
+def test_texts_of_many_rules_are_cleaned_alike_by_either_engine(spark):
+    docs = spark.createDataFrame(
+        [(1, "plain _x_ text\n- a", "en", "wiki", 17), (2, "é ﬂy `c` ☃\x0b**b*", "de", "src", 4), (3, None, "en", "a", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    bodies = docs.select("doc_id", F.expr(BODY).alias("body"))
+    both = T.with_clean_text(bodies, "body", "text").withColumn("chain", T.clean_text(F.col("body"))).collect()
+    assert [r["text"] for r in both] == [r["chain"] for r in both]
+    assert [r["text"] for r in both][:2] == [T.python_clean(r["body"]) for r in both if r["body"]]
+    names = list(SQL_RULES)
+    steps = bodies.select(T.markup_digests(F.col("body"), names).alias("d"), *[F.md5(T.markup_step(F.col("body"), n)).alias(n) for n in names])
+    for row in steps.collect():
+        assert [row["d"][n] for n in names] == [row[n] for n in names]
