@@ -125,8 +125,8 @@ def clean_issue_bodies(spark, folder):
     + " FROM bodies"
 )
 def clean_rules_one_by_one(spark, folder):
-    digests = [F.md5(T.markup_step(F.col("body"), name)).alias(name) for name in SQL_RULES]
-    return issue_bodies(spark, folder).select("doc_id", *digests)
+    rows = issue_bodies(spark, folder)
+    return rows.select("doc_id", T.markup_digests(F.col("body"), list(SQL_RULES)).alias("digests")).select("doc_id", "digests.*")
 
 
 @query(
