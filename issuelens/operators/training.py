@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, Window
@@ -77,6 +77,19 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     return add_prediction(score_with_model(df, model))
 
 
+def fixed_features(df: DataFrame, estimator: Pipeline, columns: Sequence[str]) -> tuple[DataFrame, Pipeline]:
+    """What the leading stages that learn nothing make of ``df``, and the stages that remain.
+
+    Besides ``columns`` only those that a remaining stage names are kept.
+    """
+    stages = estimator.getStages()
+    first = next((i for i, stage in enumerate(stages) if not isinstance(stage, Transformer)), len(stages))
+    rest = stages[first:]
+    made = PipelineModel(stages[:first]).transform(df)
+    named = {value for stage in rest for value in stage.extractParamMap().values() if isinstance(value, str)}
+    return made.select(*[c for c in made.columns if c in named or c in columns]), Pipeline(stages=rest)
+
+
 def cross_validate(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -87,15 +100,18 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """``(per_fold, summary)``: a fresh model per fold, scored on the fold left out.
 
-    The loop is over folds; each fit and each scoring pass is a distributed job.
+    The loop is over folds; each fit and each scoring pass is a distributed job. Stages
+    that learn nothing run once, not for each fold and pass.
     """
-    folds = kfold(df, key_cols, k, seed)
+    folds, estimator = fixed_features(kfold(df, key_cols, k, seed), estimator, [*key_cols, label, "fold"])
+    folds = materialize(folds, "features")
     held_out = []
     for fold in range(1, k + 1):
         model = estimator.fit(folds.filter(F.col("fold") != fold))
         scored = predict(folds.filter(F.col("fold") == fold), model)
         held_out.append(scored.select(*key_cols, "fold", label, "class_probabilities", "predicted_class"))
-    scored = reduce(DataFrame.unionByName, held_out)
+    # Narrow rows, written once: every metric reads them again, the texts and models are not needed for it.
+    scored = materialize(reduce(DataFrame.unionByName, held_out), "held_out")
     losses = weighted_log_loss(scored, label, by=["fold"])
     per_fold = compute_metrics(scored, label, by=["fold"]).join(losses, "fold")
     return per_fold, kfold_summary(long_metrics(per_fold), k)

@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from issuelens.functions import text as T
+from issuelens.operators import metrics as M
 from issuelens.operators import relational as R
 from issuelens.operators import scoring as I
+from issuelens.operators import training as TR
 from issuelens.plans.text_queries import BODY, SQL_RULES
+from issuelens.streaming import jobs as J
 
 
 def test_logit_means_that_only_rounding_keeps_apart_are_tied(spark):
@@ -48,3 +51,23 @@ def test_texts_of_many_rules_are_cleaned_alike_by_either_engine(spark):
     steps = bodies.select(T.markup_digests(F.col("body"), names).alias("d"), *[F.md5(T.markup_step(F.col("body"), n)).alias(n) for n in names])
     for row in steps.collect():
         assert [row["d"][n] for n in names] == [row[n] for n in names]
+
+
+def test_state_rows_are_not_counted(spark):
+    name = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    with J.durable_state(spark):
+        assert spark.conf.get(name) == "false"
+
+
+def test_cross_validation_turns_texts_into_features_once(spark):
+    rows = [(i, f"{'bad' if i % 3 == 0 else 'good'} word{i % 7} case", int(i % 3 == 0 or i % 11 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    estimator = TR.text_classifier(n_features=64, max_iter=5)
+    features, rest = TR.fixed_features(df, estimator, ["id", "label"])
+    assert features.columns == ["id", "label", "__tf"] and len(rest.getStages()) == 2
+    per_fold, _ = TR.cross_validate(df, ["id"], estimator, k=3)
+    folds = TR.kfold(df, ["id"], 3)
+    for row in per_fold.collect():
+        model = estimator.fit(folds.where(F.col("fold") != row["fold"]))
+        wanted = M.compute_metrics(TR.predict(folds.where(F.col("fold") == row["fold"]), model)).first()
+        assert [row[c] for c in ("accuracy", "f1", "roc_auc")] == pytest.approx([wanted[c] for c in ("accuracy", "f1", "roc_auc")])
