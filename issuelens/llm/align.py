@@ -29,7 +29,7 @@ from issuelens.session import materialize
 FOLDER = "/opt/tokenizers"
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 SPACE = "\u2581"
 # A space after another character but white space starts a segment: a byte-level tokenizer starts
@@ -266,7 +266,7 @@ class Block:
         pieces = list(chain.from_iterable(lists))
         ends, parts, start = np.cumsum([0, *map(len, pieces)]), [], 0
         while start < len(pieces):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 4 * self.piece, "right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 2 * self.piece, "right")) - 1)
             found = linked_tokens(self.both, pieces[start:stop], owner[start:stop], n)
             whole &= found["whole"]
             counts += found["counts"]
@@ -293,11 +293,15 @@ class Block:
         """One row a text; the first row of the block also has the block's id pairs and their text counts."""
         nothing = np.zeros(0, np.int64)
         text, key, times = (np.concatenate([nothing, *v]) for v in zip(*self.pairs)) if self.pairs else (nothing,) * 3
+        self.pairs = []
         known, code, held = np.unique(key, return_inverse=True, return_counts=True)
+        del key
+        code = code.astype(np.int32)
         order = np.lexsort((code, text))
         text, code, times = text[order], code[order], times[order]
+        del order
         at = pa.array(np.searchsorted(text, np.arange(self.n + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (code.astype(np.int32), times)]
+        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (code, times)]
         once = pa.array([0] + [len(known)] * self.n, pa.int32())
         absent = pa.array(np.arange(self.n) > 0)
         table = [pa.array(v) for v in ((known >> 32).astype(np.int32), (known & 0xFFFFFFFF).astype(np.int32), held)]
@@ -332,6 +336,7 @@ def aligned_blocks(docs: DataFrame, first: str, second: str, block_bytes: int =
                 block.add(part.select([0]), part.column(1).to_pylist(), len(data))
                 if block.size >= block_bytes:
                     yield block.batch(number, names)
+                    pa.default_memory_pool().release_unused()
                     number += 1
         if block.n:
             yield block.batch(number, names)

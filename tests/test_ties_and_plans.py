@@ -2,6 +2,8 @@
 
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,17 @@ def test_cross_validation_turns_texts_into_features_once(spark):
         model = estimator.fit(folds.where(F.col("fold") != row["fold"]))
         wanted = M.compute_metrics(TR.predict(folds.where(F.col("fold") == row["fold"]), model)).first()
         assert [row[c] for c in ("accuracy", "f1", "roc_auc")] == pytest.approx([wanted[c] for c in ("accuracy", "f1", "roc_auc")])
+
+
+def test_texts_are_aligned_in_small_batches(monkeypatch):
+    align = pytest.importorskip("issuelens.llm.align")
+    seen = []
+
+    def spy(both, pieces, owner, n):
+        seen.append(sum(map(len, pieces)))
+        nothing = pa.array([], pa.int64())
+        return {"whole": np.ones(n, bool), "counts": np.zeros((3, n), np.int64), "lines": [""] * n, "pairs": pa.table({"row": nothing, "key": nothing, "n_sum": nothing})}
+
+    monkeypatch.setattr(align, "linked_tokens", spy)
+    align.Block(None, piece=100).add(pa.record_batch({"doc_id": [1, 2]}), ["word " * 300, "other " * 200], 2700)
+    assert sum(seen) == 2702 and max(seen) <= 200
