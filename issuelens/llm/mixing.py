@@ -2,9 +2,10 @@
 
 A classifier fitted on labelled rows gives every document a posterior over domains. Rates
 r >= 0 minimise the squared relative errors of the expected domain totals sum(r t p)
-against the targets, by projected gradient with momentum. A pass over the narrow table
-of tokens and posteriors gives the domain totals of a step; a rate follows from the
-posterior and the totals so far, so rates are never stored or moved between passes.
+against the targets, by projected gradient with momentum, and where that is slow by
+projected gradient at the point a step reaches. A pass over the narrow table of tokens and
+posteriors gives the domain totals of a step; a rate follows from the posterior and the
+totals so far, so rates are never stored or moved between passes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ STEPS = 400
 TOLERANCE = 1e-3
 STILL = 1e-7
 SMALLEST_TARGET = 1e-4
+DIRECT_TASKS = 512
 TEMPERATURE = 0.8
 MEMBERS = "doc_id long, n_tokens long, posterior array<double>, draw double"
 
@@ -97,9 +99,10 @@ def default_targets(shares: np.ndarray, temperature: float = TEMPERATURE) -> np.
     return raised * np.max(shares[held] / raised[held]) if held.any() else shares
 
 
-def _pass(members: DataFrame, rates: Rates) -> np.ndarray | None:
-    """Sums over all documents: rows of domain totals by rate, by the point ahead, by one,
-    the movement, and the products of posteriors. One row of numbers a task leaves it."""
+def _sums(members: DataFrame, rates: Rates) -> DataFrame:
+    """For each task sums over its documents: rows of domain totals by rate, by the point ahead,
+    by one, the movement, and the products of posteriors, one after the other. After a step
+    products are of documents between their bounds only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -108,18 +111,31 @@ def _pass(members: DataFrame, rates: Rates) -> np.ndarray | None:
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 t = batch.column(0).to_numpy()
                 rate, ahead, moved = rates.after_steps(p)
-                own = np.vstack([(rate * t) @ p, (ahead * t) @ p, t @ p, (np.abs(moved) * t) @ p, (p * t[:, None]).T @ p])
+                free = t * ((rate > rates.low) & (rate < rates.high)) if rates.steps else t
+                own = np.vstack([(rate * t) @ p, (ahead * t) @ p, t @ p, (np.abs(moved) * t) @ p, (p * free[:, None]).T @ p])
                 total = own if total is None else total + own
         if total is not None:
-            at = np.arange(total.size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], names=["at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], names=["sums"])
 
-    found = members.select("n_tokens", "posterior").mapInArrow(run, "at long, value double")
-    found = found.groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()  # (4 + domains) x domains numbers
-    if not found:
+    return members.select("n_tokens", "posterior").mapInArrow(run, "sums array<double>")
+
+
+def _few_tasks(members: DataFrame) -> bool:
+    return members.rdd.getNumPartitions() <= DIRECT_TASKS
+
+
+def _pass(members: DataFrame, rates: Rates, direct: bool) -> np.ndarray | None:
+    """:func:`_sums` over all documents, a row each. Many tasks' sums are added by Spark first;
+    without that a pass has no shuffle, whose files would stay until the driver collects garbage."""
+    found = _sums(members, rates)
+    if not direct:
+        found = found.select(F.posexplode("sums").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
+        found = found.orderBy("at")
+    rows = found.collect()  # (4 + domains) x domains numbers, or as many a task
+    if not rows:
         return None
-    domains = round(np.sqrt(4 + len(found)) - 2)
-    return np.array([r["value"] for r in found]).reshape(-1, domains)
+    total = np.sum([r["sums"] for r in rows], axis=0) if direct else np.array([r["value"] for r in rows])
+    return total.reshape(-1, round(np.sqrt(4 + len(total)) - 2))
 
 
 def solve(members: DataFrame, targets=None, low: float = 0.0, high: float | None = None, steps: int = STEPS) -> tuple[Rates, np.ndarray, np.ndarray]:
@@ -130,30 +146,62 @@ def solve(members: DataFrame, targets=None, low: float = 0.0, high: float | None
     posteriors then do not allow more, which the totals tell. Raises RuntimeError if
     neither is so after ``steps`` passes. Errors are relative to the target, or to
     ``SMALLEST_TARGET`` if that is smaller.
+
+    The first half of the passes takes steps with momentum. If they do not end, steps
+    follow whose gradient is that of the point they reach: it is found by Newton's rule on
+    one number a domain, and each such step is four times as long as the one before.
     """
-    rates = Rates(low, high)
-    now = _pass(members, rates)
+    rates, direct = Rates(low, high), _few_tasks(members)
+    now = _pass(members, rates, direct)
     if now is None or now[2].sum() == 0:
         return rates, np.zeros(0), np.zeros(0)
     every = now[2].sum()
     targets = default_targets(now[2] / every) if targets is None else np.asarray(targets, float)
     floor = np.maximum(targets, SMALLEST_TARGET)
-    curved = now[4:] / every / np.outer(floor, floor)
-    length = 1 / max(np.linalg.eigvalsh(curved)[-1], 1e-12)
-    weight, least = 1.0, np.inf
-    for _ in range(steps + 1):
-        reached = now[0] / every
-        error = (reached - targets) / floor
-        if np.max(np.abs(error)) < TOLERANCE or (rates.steps and now[3].sum() / every < STILL * max(1.0, reached.sum())):
-            return rates, targets, reached
-        if error @ error > least:
+
+    def curvature():
+        return now[4:] / every / np.outer(floor, floor)
+
+    def error():
+        return (now[0] / every - targets) / floor
+
+    def ended():
+        total = now[0].sum() / every
+        return np.max(np.abs(error())) < TOLERANCE or (rates.steps and now[3].sum() / every < STILL * max(1.0, total))
+
+    length = 1 / max(np.linalg.eigvalsh(curvature())[-1], 1e-12)
+    weight, least, left = 1.0, np.inf, steps
+    while not ended() and left > steps // 2:
+        if error() @ error() > least:
             weight = 1.0  # momentum went too far
-        least = error @ error
+        least = error() @ error()
         following = (1 + np.sqrt(1 + 4 * weight**2)) / 2
         rates.steps.append((length * (now[1] / every - targets) / floor**2, (weight - 1) / following))
-        weight = following
-        now = _pass(members, rates)
-    raise RuntimeError(f"rates still move after {steps} steps: targets {targets.tolist()}, reached {reached.tolist()}")
+        weight, left = following, left - 1
+        now = _pass(members, rates, direct)
+    if not ended() and rates.steps:
+        rates.steps[-1] = (rates.steps[-1][0], 0.0)  # the next step goes from the rates, not from the point ahead
+    length *= 5
+    while not ended() and left:
+        rates.steps.append((np.zeros(len(targets)), 0.0))
+        slope, apart = np.zeros(len(targets)), -length * error()  # slope less that at the point reached
+        while left and np.linalg.norm(apart) > 0.01 * np.linalg.norm(slope):
+            turn, part, before = np.linalg.solve(np.eye(len(targets)) + length * curvature(), apart), 1.0, apart
+            while left:
+                tried = slope - part * turn
+                rates.steps[-1] = (tried / floor, 0.0)
+                now, left = _pass(members, rates, direct), left - 1
+                apart = tried - length * error()
+                if apart @ turn >= -0.5 * (before @ turn) or part < 1e-9:
+                    break
+                part /= 2  # too far
+            slope = tried
+            if np.max(np.abs(error())) < TOLERANCE:
+                break
+        length *= 4
+    if ended():
+        return rates, targets, now[0] / every
+    raise RuntimeError(f"rates still move after {steps} steps: targets {targets.tolist()}, reached {(now[0] / every).tolist()}")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame) -> Softmax | None:
@@ -191,7 +239,7 @@ def mixing_report(docs: DataFrame, labels: DataFrame, targets=None, low: float =
     members = memberships(docs, model)
     _, targets, reached = solve(members, targets, low, high)
     names = ["all"] if model is None else list(model.names)
-    plain = _pass(members, Rates(1.0, 1.0))
+    plain = _pass(members, Rates(1.0, 1.0), _few_tasks(members))
     shares = plain[0] / plain[2].sum() if len(reached) else []
     rows = [(n, float(s), float(t), float(r)) for n, s, t, r in zip(names, shares, targets, reached)]
     return docs.sparkSession.createDataFrame(rows, "domain string, share double, target double, reached double")

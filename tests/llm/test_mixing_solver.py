@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from issuelens.llm.common import table
-from issuelens.llm.mixing import SMALLEST_TARGET, TOLERANCE, mixing_report, solve
+from issuelens.llm.mixing import SMALLEST_TARGET, TOLERANCE, Rates, _pass, _sums, mixing_report, solve
 
 
 def members(spark, tokens, posteriors):
@@ -58,3 +58,33 @@ def test_report(spark, sf_dir):
     found = mixing_report(table(spark, folder, "documents"), table(spark, folder, "labels")).collect()
     assert len(found) > 1 and abs(sum(r["share"] for r in found) - 1) < 1e-9
     assert all(abs(r["reached"] - r["target"]) <= TOLERANCE * r["target"] * 1.01 for r in found)
+
+
+def scarce(rows, overlap, seed):
+    """Tokens and posteriors of one large domain and seven small ones."""
+    draw = np.random.default_rng(seed)
+    p = draw.dirichlet(np.array([0.12, 0.016, 0.57, 0.07, 0.08, 0.012, 0.11, 0.02]) * 8 * overlap + 1e-3, rows)
+    return draw.integers(1, 100, rows), p
+
+
+def test_bounds_that_most_documents_meet(spark):
+    """Steps with momentum alone did not end within the passes allowed."""
+    tokens, p = scarce(300, 0.05, 1)
+    _, targets, reached = solve(members(spark, tokens, p), low=1.0, steps=100)
+    assert np.allclose(reached, targets, rtol=TOLERANCE)
+    tokens, p = scarce(300, 0.2, 2)  # the large domain cannot give up what the small ones bring
+    _, targets, reached = solve(members(spark, tokens, p), low=1.0, steps=140)
+    assert np.sum((reached / targets - 1) ** 2) == pytest.approx(3.3431e-4, rel=1e-2)
+
+
+def test_a_pass_shuffles_nothing(spark):
+    rows = members(spark, *scarce(50, 0.2, 1))
+    found = _sums(rows, Rates(1.0, None))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2  # a row a task
+
+
+def test_many_tasks_are_added_by_spark(spark):
+    rows = members(spark, *scarce(300, 0.05, 1))
+    rates = Rates(1.0, None)
+    assert np.allclose(_pass(rows, rates, False), _pass(rows, rates, True))
