@@ -18,7 +18,8 @@ from issuelens.session import materialize
 
 THRESHOLD = 0.85
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words, once A-Z is lower-cased; line breaks are kept apart.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) != "\n")
 
 # The phrases of the base labels, and notices of well-known licenses.
 PHRASES = [
@@ -42,13 +43,15 @@ TEMPLATES = [
 ]
 
 
-def lowered(text: Column) -> Column:
-    """The text with A-Z only lower-cased; null is empty."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
+def spaced(text: Column) -> Column:
+    """The text with A-Z only lower-cased and blanks for all that is between words but line breaks; null is empty."""
+    blanks = " " * len(BETWEEN)
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + BETWEEN, UPPER.lower() + blanks)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def line_words(low: Column) -> Column:
+    """The words of each line, with empty strings between them."""
+    return F.transform(F.split(low, "\n"), lambda line: F.split(line, " "))
 
 
 def _strings(values) -> Column:
@@ -62,7 +65,8 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     token, a number that does not grow with the documents, reaches the driver.
     """
     vocabulary = sorted({w for _, text in templates for w in text.split()})
-    held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), words(lowered(F.col("text"))))).alias("token"))
+    every = F.split(F.translate(spaced(F.col("text")), "\n", " "), " ")
+    held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), every)).alias("token"))
     counts = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -124,8 +128,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
     rows = template_rows(order, templates, threshold)
     least = min((r[4] for r in rows), default=1)
 
-    text = docs.select(F.col("doc_id"), lowered(F.col("text")).alias("low"))
-    text = text.withColumn("tokens", words(F.col("low")))
+    text = docs.select(F.col("doc_id"), spaced(F.col("text")).alias("low"))
+    text = text.withColumn("words", line_words(F.col("low")))
+    text = text.withColumn("tokens", F.array_remove(F.flatten("words"), ""))
     places = [F.transform(phrase_places(F.col("tokens"), p), lambda i: i.cast("long")) for _, p in phrases]
     none = F.array(*[F.array().cast("array<bigint>") for _ in phrases])
     last_words = [p.split()[-1] for _, p in phrases]
@@ -133,13 +138,17 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
     for word in sorted(set(last_words)):
         hopeful = hopeful | F.contains(F.col("low"), F.lit(word))
     # One row per document from here on: counts, places and the few tokens of each line.
-    lines = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(_strings(order), words(line)))
+    # A text without any token of a template's prefix holds none of them, line by line or over lines.
+    rarest = sorted({token for _, _, tokens, size, required in rows for token in tokens[: size - required + 1]})
+    lines = F.transform("words", lambda line: F.array_intersect(_strings(order), line))
+    lines = F.when(F.arrays_overlap("tokens", _strings(rarest)), lines).otherwise(F.array().cast("array<array<string>>"))
     # Runs are looked at in texts that hold enough tokens of a template, yet in no single line all of them.
     text = text.withColumn("lines", lines).withColumn("every", F.array_distinct(F.flatten("lines")))
     split = F.lit(False)
     for _, _, tokens, _, required in rows:
         whole = F.size(F.array_intersect(F.col("every"), _strings(tokens)))
         split = split | ((whole >= required) & ~F.exists("lines", holds_all(tokens)))
+    split = (F.size("every") >= least) & split
     lines = F.col("lines")
     narrow = text.select(
         F.monotonically_increasing_id().alias("row"),
