@@ -39,7 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
     A group is a component of texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, whatever their fingerprints. Null ids come last;
+    similarity of 0.8 or more: SimHash fingerprints near by their distances to references
+    are verified first, and an exact join finds what differs in more bits. Null ids come last;
     of rows with one id the one with the smallest digest of its text stays.
     """
     classes = similar_classes(docs.select(*row_keys(), "text"))

@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered join.
+"""Near copies by exact Jaccard similarity of word shingles: fingerprints, then a prefix-filtered join.
+
+SimHash fingerprints of the sets meet by their distances to references, and what is near
+is verified on whole sets. Sets of that similarity may differ in more bits than
+fingerprints can be searched for, so an exact join looks at all that is not connected then.
 
 Two sets with similarity t share one of the first n - ceil(t n) + 1 shingles of either in
 any order common to all, so only sets that share one of those meet. Shingles are ordered
@@ -21,11 +25,13 @@ from pyspark.sql import functions as F
 from issuelens.llm.common import LOWER, Scratch, strings, text_slices
 from issuelens.llm.components import components
 from issuelens.llm.keep import sifted
+from issuelens.llm.simhash import majority, near_links
 
 SEED = 42
 COUNTERS = 1 << 18
 HOT_BUCKET = 1024
 SMALL_SIDE = 1 << 18
+PRINT_BITS = 6
 
 
 def shingles_of(text: bytes, width: int = 5) -> np.ndarray:
@@ -106,9 +112,9 @@ def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, width: int, threshold: float, counters: int = COUNTERS) -> DataFrame:
-    """The columns of ``rows`` but its text; node, a digest of the set; its size, prefix and bitmap."""
+    """The columns of ``rows`` but its text; node, a digest of the set; its size, prefix, bitmap and fingerprint."""
     keys = rows.drop("text")
-    names = [*keys.columns, "node", "size", "prefix", "bitmap"]
+    names = [*keys.columns, "node", "size", "prefix", "bitmap", "fingerprint"]
     sent = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, width, counters))  # one number a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +122,7 @@ def prefixes(rows: DataFrame, width: int, threshold: float, counters: int = COUN
         for batch in batches:
             for part in text_slices(batch, batch.num_columns - 1):
                 *held, texts = part.columns
-                node, size, prefix, bitmap = [], [], [], []
+                node, size, prefix, bitmap, prints = [], [], [], [], []
                 for own in _sets(texts, width):
                     often = counts[(own.view(np.uint64) % np.uint64(counters)).astype(np.int64)]
                     first = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1 if len(own) else 0
@@ -124,11 +130,12 @@ def prefixes(rows: DataFrame, width: int, threshold: float, counters: int = COUN
                     size.append(len(own))
                     prefix.append(own[np.lexsort((own, often))[:first]])
                     bitmap.append(parities(own))
+                    prints.append(majority(own.view(np.uint64)))
                 node = pa.array(np.array(node, np.uint64).view(np.int64))
-                arrays = [*held, node, pa.array(size, pa.int32()), _lists(prefix), pa.array(bitmap, pa.binary())]
+                arrays = [*held, node, pa.array(size, pa.int32()), _lists(prefix), pa.array(bitmap, pa.binary()), pa.array(prints, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    made = {"node": F.lit(0).cast("long"), "size": F.lit(0), "prefix": F.array().cast("array<long>"), "bitmap": F.lit(b"")}
+    made = {"node": F.lit(0).cast("long"), "size": F.lit(0), "prefix": F.array().cast("array<long>"), "bitmap": F.lit(b""), "fingerprint": F.lit(0).cast("long")}
     return rows.select(*keys.columns, F.col("text").cast("string")).mapInArrow(run, keys.withColumns(made).schema)
 
 
@@ -137,25 +144,38 @@ def may_reach(size: np.ndarray, other: np.ndarray, apart: np.ndarray, threshold:
     return (size + other - apart) / 2 >= threshold / (1 + threshold) * (size + other) - 1e-9
 
 
-def _star_pairs(buckets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: for each set the smallest of the first sets of its buckets that its bitmap may reach."""
-    first = F.col("hub.size")
-    near = F.least("size", first) >= threshold * F.greatest("size", first) - 1e-9
-    pairs = buckets.where((F.col("node") > F.col("hub.node")) & near)
-    pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+def _print_pairs(nodes: DataFrame, within: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between the first sets of fingerprints at most ``within`` bits apart, and from
+    each such set to the others of its fingerprint."""
+    prints = scratch.write(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "prints")
+    links = near_links(prints.select("fingerprint"), within).distinct()
+    for side in ("a", "b"):
+        links = links.join(prints.select(F.col("fingerprint").alias(side), F.col("first").alias(f"{side}_node")), side)
+    equal = nodes.select("node", "fingerprint").join(prints, "fingerprint").where("node <> first")
+    pairs = links.select("a_node", "b_node").union(equal.select("first", "node"))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def _first_pairs(prints: DataFrame, buckets: DataFrame, nodes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """a, b: the pairs of ``prints``, and for each set the smallest of the first sets of its buckets, that bitmaps may reach."""
+    hubs = buckets.where(F.col("node") > F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    pairs = hubs.withColumn("linked", F.lit(False)).union(prints.withColumn("linked", F.lit(True)))
+    pairs = pairs.groupBy("a", "b").agg(F.max("linked").alias("linked"))
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_bits")), side)
+    pairs = pairs.where(F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size") - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (4, 5)]
+            bits = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (5, 6)]
             words = [min(len(x), len(y)) for x, y in zip(*bits)]
             apart = [int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) for x, y, w in zip(*bits, words)]
-            kept = may_reach(batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.array(apart, np.int64), threshold)
-            yield batch.select([0, 1]).filter(pa.array(kept))
+            kept = may_reach(batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.array(apart, np.int64), threshold)
+            yield batch.select([0, 1, 2]).filter(pa.array(kept))
 
-    pairs = pairs.select("a", "b", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
-    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = pairs.select("a", "b", "linked", "a_size", "b_size", "a_bits", "b_bits")
+    pairs = scratch.write(pairs.mapInArrow(run, "a long, b long, linked boolean"), "first")
+    return pairs.where("linked").select("a", "b").union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
 
 
 def bucket_pairs(size: np.ndarray, place: np.ndarray, label: np.ndarray, own: np.ndarray, bitmaps: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -251,9 +271,9 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, width: int,
 
 
 def _nodes(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, size, prefix and bitmap of each distinct set; those of one text stay in the scan of ``prints``."""
+    """node, size, prefix, bitmap and fingerprint of each distinct set; those of one text stay in the scan of ``prints``."""
     again = prints.groupBy("node").count().where("count > 1").select("node")
-    sets = prints.select("node", "size", "prefix", "bitmap")
+    sets = prints.select("node", "size", "prefix", "bitmap", "fingerprint")
     alone, others = sifted(sets, ["node"], again, scratch.write)
     return alone.unionByName(scratch.write(others.dropDuplicates(["node"]), "copies"))
 
@@ -263,8 +283,9 @@ def similar_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, hot
     ``width``-word shingles with a Jaccard similarity of ``threshold`` or more.
 
     ``rows`` has id_key, text_key and text. Equal sets are one node, so copies are never
-    paired; texts without words are equal. First each set meets one of the first sets of
-    its buckets; only buckets whose sets are not all connected then are compared in full,
+    paired; texts without words are equal. First sets meet whose fingerprints are linked
+    over at most ``PRINT_BITS`` bits, and each set meets one of the first sets of its
+    buckets; what passes is verified. Only buckets whose sets are not all connected then are compared in full,
     inside a task, and only pairs that pass all bounds leave it. Tables written on the way
     are removed at the end.
     """
@@ -277,7 +298,8 @@ def similar_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, hot
     buckets = keyed.select("key", "node", "size", "place", F.count(F.lit(1)).over(own).alias("n"), hub.alias("hub"))
     buckets = scratch.write(buckets.where("n > 1").drop("n"), "buckets")
 
-    first = _verified(_star_pairs(buckets, nodes, threshold), prints, rows, width, threshold, scratch)
+    near = _first_pairs(_print_pairs(nodes, PRINT_BITS, scratch), buckets, nodes, threshold, scratch)
+    first = _verified(near, prints, rows, width, threshold, scratch)
     labels = components(first)
     second = _verified(_open_pairs(buckets, labels, nodes, threshold, hot), prints, rows, width, threshold, scratch)
     labels = components(first.union(second)) if not second.isEmpty() else labels

@@ -21,6 +21,15 @@ HOT_BUCKET = 1024
 PENDING = 1 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none give zero."""
+    ones, total = np.zeros(64, np.int64), len(hashes)
+    for at in range(0, total, 1 << 15):
+        bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True)
+
+
 def fingerprint_of(text: bytes, width: int = 4) -> int:
     """Majority of the bits of the XXH64 values of all ``width``-word shingles, repeats included.
 
@@ -36,12 +45,8 @@ def fingerprint_of(text: bytes, width: int = 4) -> int:
     span = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(words) - span].tolist(), ends[span:].tolist())
-    ones, total = np.zeros(64, np.int64), len(words) - span
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, total)
-    for at in range(0, total, 1 << 15):
-        bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True)
+    total = len(words) - span
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, total))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:

@@ -106,3 +106,26 @@ def test_bounds_keep_all_that_reach():
         assert apart <= len(one) + len(other) - 2 * shared
         if 5 * shared >= 4 * (len(one) + len(other) - shared):
             assert jaccard.may_reach(len(one), len(other), apart, 0.8)
+
+
+def test_fingerprints_find_near_copies_before_the_join(spark, monkeypatch):
+    texts = [t for seed in range(8) for t in near_texts(seed, 300, [0, 0.004, 0.004])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(*row_keys(), "text")
+    scratch = Scratch(spark)
+    nodes = scratch.write(jaccard.prefixes(docs, 5, 0.8), "prefixes")
+    rows = {r["id_key"]: r for r in nodes.collect()}
+    for i, text in enumerate(texts):
+        hashes = [int(x) for x in jaccard.shingles_of(text.encode()).view("uint64")]
+        assert rows[i]["fingerprint"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    none = spark.createDataFrame([], "key long, node long, size int, place int, hub struct<node:long,size:int>")
+    found = jaccard._first_pairs(jaccard._print_pairs(nodes, jaccard.PRINT_BITS, scratch), none, nodes, 0.8, scratch)
+    of = {r["node"]: i // 3 for i, r in rows.items()}
+    pairs = [(of[r["a"]], of[r["b"]]) for r in found.collect()]
+    assert all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == 8
+    scratch.clear()
+
+    called = []
+    links = jaccard.near_links
+    monkeypatch.setattr(jaccard, "near_links", lambda *a: called.append(a[1]) or links(*a))
+    jaccard.similar_classes(docs)
+    assert called == [jaccard.PRINT_BITS]  # by distances to the references, as in op9
