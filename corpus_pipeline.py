@@ -21,7 +21,7 @@ from issuelens.llm.keep import keep_rows, row_keys  # noqa: E402
 from issuelens.llm.mixing import repeat_documents  # noqa: E402
 from issuelens.llm.sharding import shard_documents  # noqa: E402
 from issuelens.llm.toxicity import keep_clean  # noqa: E402
-from issuelens.operators.small import inline_if_small  # noqa: E402
+from issuelens.operators.small import sized  # noqa: E402
 from issuelens.session import materialize  # noqa: E402
 
 SHARDS = 24
@@ -58,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = contamination(keyed, table(spark, sf_dir, "benchmark")).where("contaminated")
     name = fresh(docs, "__text_key")
     found = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
-    found = inline_if_small(found)  # few documents are contaminated: the texts stay where they are
+    found = sized(found)  # few documents are contaminated: the texts stay where they are
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(*columns, F.xxhash64("text", F.octet_length("text")).alias(name))
     return rows.join(found, name, "left_anti").select(*columns)

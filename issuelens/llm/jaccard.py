@@ -26,6 +26,7 @@ from issuelens.llm.common import LOWER, Scratch, strings, text_slices
 from issuelens.llm.components import components
 from issuelens.llm.keep import sifted
 from issuelens.llm.simhash import majority, near_links
+from issuelens.operators.small import shuffled, sized
 
 SEED = 42
 COUNTERS = 1 << 18
@@ -149,9 +150,10 @@ def _print_pairs(nodes: DataFrame, within: int, scratch: Scratch) -> DataFrame:
     each such set to the others of its fingerprint."""
     prints = scratch.write(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "prints")
     links = near_links(prints.select("fingerprint"), within).distinct()
+    firsts = sized(prints)
     for side in ("a", "b"):
-        links = links.join(prints.select(F.col("fingerprint").alias(side), F.col("first").alias(f"{side}_node")), side)
-    equal = nodes.select("node", "fingerprint").join(prints, "fingerprint").where("node <> first")
+        links = links.join(firsts.select(F.col("fingerprint").alias(side), F.col("first").alias(f"{side}_node")), side)
+    equal = nodes.select("node", "fingerprint").join(firsts, "fingerprint").where("node <> first")
     pairs = links.select("a_node", "b_node").union(equal.select("first", "node"))
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
@@ -162,7 +164,8 @@ def _first_pairs(prints: DataFrame, buckets: DataFrame, nodes: DataFrame, thresh
     pairs = hubs.withColumn("linked", F.lit(False)).union(prints.withColumn("linked", F.lit(True)))
     pairs = pairs.groupBy("a", "b").agg(F.max("linked").alias("linked"))
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_bits")), side)
+        held = nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("bitmap").alias(f"{side}_bits"))
+        pairs = pairs.join(shuffled(held), side)
     pairs = pairs.where(F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size") - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +218,10 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, thresho
     group of their own.
     """
     by_key = Window.partitionBy("key")
-    rows = buckets.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = buckets.drop("hub").join(sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = rows.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key), "n": F.count(F.lit(1)).over(by_key)})
     rows = rows.where("low < high").drop("low", "high").withColumn("shares", F.ceil(F.col("n") / hot).cast("int"))
-    rows = rows.join(nodes.select("node", "bitmap"), "node")
+    rows = rows.join(shuffled(nodes.select("node", "bitmap")), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "shares").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, shares - 1)")))
     share = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("own")
@@ -256,15 +259,15 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, thresho
 def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     pairs = scratch.write(pairs, "near")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = prints.join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    held = prints.join(sized(wanted, SMALL_SIDE), "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
     held = scratch.write(held, "wanted")
     small = held.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    texts = rows.select("text_key", "text").join(F.broadcast(held) if small else held, "text_key")
+    texts = rows.select("text_key", "text").join(F.broadcast(held) if small else shuffled(held), "text_key")
     texts = texts.groupBy("node").agg(F.first("text").alias("text")) if not small else texts.dropDuplicates(["node"])
     sets = scratch.write(shingle_sets(texts.select("node", "text"), width), "sets")
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles")), side)
+        pairs = pairs.join(shuffled(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles"))), side)
     shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
     union = F.size("a_shingles") + F.size("b_shingles") - shared
     return scratch.write(pairs.where(shared >= threshold * union - 1e-9).select("a", "b"), "links")
@@ -303,7 +306,7 @@ def similar_classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, hot
     labels = components(first)
     second = _verified(_open_pairs(buckets, labels, nodes, threshold, hot), prints, rows, width, threshold, scratch)
     labels = components(first.union(second)) if not second.isEmpty() else labels
-    joined = prints.select("id_key", "text_key", "node").join(labels, "node", "left")
+    joined = prints.select("id_key", "text_key", "node").join(sized(labels), "node", "left")
     classes = Scratch(rows.sparkSession).write(joined.select("id_key", "text_key", F.coalesce("label", "node").alias("label")), "classes")
     scratch.clear()
     return classes

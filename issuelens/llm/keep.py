@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelens.llm.common import fresh, null_safe
+from issuelens.operators.small import shuffled, sized
 from issuelens.session import materialize
 
 KEYS = ("id_key", "text_key")
@@ -52,11 +53,11 @@ def keep_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     names = [fresh(docs, f"__{k}") for k in KEYS]
     keyed = docs.select(*columns, *[c.alias(n) for c, n in zip(row_keys(), names)])
     chosen = chosen.select(*[F.col(k).alias(n) for k, n in zip(KEYS, names)]).distinct().withColumn("kept", F.lit(True))
-    rows = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(chosen, names, "left")
+    rows = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(shuffled(chosen), names, "left")
     touched = materialize(rows.where("kept IS NULL OR n > 1").select(*names, F.expr("kept IS NOT NULL AS kept")), "touched")
     alone, others = sifted(keyed, names, touched.select(*names), materialize)
-    kept = alone.unionByName(others.join(touched.select(*names), names, "left_anti"))
+    kept = alone.unionByName(others.join(sized(touched.select(*names)), names, "left_anti"))
     repeated = touched.where("kept").select(*names)
     if not repeated.isEmpty():
-        kept = kept.unionByName(others.join(repeated, names, "left_semi").dropDuplicates(names))
+        kept = kept.unionByName(others.join(sized(repeated), names, "left_semi").dropDuplicates(names))
     return kept.select(*columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from issuelens.llm.common import LOWER, small_batches, strings
 from issuelens.llm.components import components
+from issuelens.operators.small import sized
 from issuelens.session import materialize
 
 SEED = 42
@@ -158,7 +159,7 @@ def near_links(nodes: DataFrame, within: int = 4, hot: int = HOT_BUCKET) -> Data
     keyed = pivot_table(nodes).select("fingerprint", *tables, F.explode(band_keys(within)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")), "buckets")
-    rows = keyed.join(sizes, "key")
+    rows = keyed.join(sized(sizes), "key")  # the exploded side is never sent, however small it looks
     own = F.pmod(F.xxhash64("fingerprint"), "blocks").cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select(

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from issuelens.llm import jaccard
+from issuelens.llm import jaccard, simhash
 from issuelens.llm.common import Scratch, table
 from issuelens.llm.keep import row_keys
 from tests.llm import plain
@@ -129,3 +129,43 @@ def test_fingerprints_find_near_copies_before_the_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "near_links", lambda *a: called.append(a[1]) or links(*a))
     jaccard.similar_classes(docs)
     assert called == [jaccard.PRINT_BITS]  # by distances to the references, as in op9
+
+
+def builds(frame):
+    """The sides that the joins of a frame's plan send to every task."""
+    tree = [frame._jdf.queryExecution().sparkPlan()]
+    while tree:
+        node = tree.pop()
+        tree += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "BroadcastHashJoin":
+            yield (node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).toString()
+
+
+def test_no_exploded_table_is_sent_to_every_task(spark, tmp_path, monkeypatch):
+    """A row a key of each fingerprint: by Spark's estimate less than the buckets' file, in truth many times as much."""
+    draw = random.Random(5)
+    base = [draw.getrandbits(64) - 2**63 for _ in range(30000)]
+    prints = base + [p ^ 1 << draw.randrange(62) for p in base[:50]]
+    spark.createDataFrame([(p,) for p in prints], "fingerprint long").coalesce(1).write.parquet(str(tmp_path / "prints"))
+    nodes = spark.read.parquet(str(tmp_path / "prints"))
+    found = []
+    for most in (1, 0):  # the buckets are sent, or nothing
+        links = simhash.near_links(nodes, jaccard.PRINT_BITS)
+        sent = list(builds(links))
+        assert len(sent) == most and not any("Generate" in side for side in sent)
+        monkeypatch.setattr("issuelens.operators.small.SIDE_ROWS", 1000)
+        found.append({frozenset((r["a"], r["b"])) for r in links.collect()})
+    assert found[0] == found[1] >= {frozenset(p) for p in zip(base, prints[30000:])}
+
+
+def test_sides_are_sent_by_their_rows_and_not_by_their_files(spark, monkeypatch):
+    texts = [t for seed in range(6) for t in near_texts(seed, 60, [0, 0.01, 0.02, 0.05])] + ["one two", "ONE two", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = survivors([(i, t or "") for i, t in enumerate(texts)])
+    for rows in (0, 1 << 18):
+        monkeypatch.setattr("issuelens.operators.small.SIDE_ROWS", rows)
+        monkeypatch.setattr(jaccard, "SMALL_SIDE", rows)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, None)
+        sent = [side for side in builds(kept) if "__word" not in side]  # bitmaps of keys are bounded
+        assert bool(sent) == bool(rows)
+        assert sorted(r["doc_id"] for r in kept.collect()) == want
